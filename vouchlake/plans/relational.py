@@ -86,7 +86,7 @@ PLANS: dict[str, str | tuple[str, str]] = {
     "weighted_vote": """
         SELECT l_partkey, flag, w FROM (
           SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY w DESC, flag) AS rn FROM (
-            SELECT l_partkey, l_returnflag AS flag, round(sum(CASE WHEN l_linestatus = 'F' THEN 1.5 ELSE 1.0 END), 2) AS w FROM
+            SELECT l_partkey, l_returnflag AS flag, round(sum(CASE WHEN l_linestatus = 'F' THEN 1.5e0 ELSE 1e0 END), 2) AS w FROM
               (SELECT l_partkey, l_returnflag, l_linestatus FROM lineitem) x GROUP BY 1, 2) y) z WHERE rn = 1""",
     "pearson_by_group": "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1",
     "confusion_matrix": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2",
@@ -103,7 +103,7 @@ PLANS: dict[str, str | tuple[str, str]] = {
         r"SELECT lang, kw, cast(sum(len(regexp_extract_all(text, kw))) AS bigint) AS n FROM documents CROSS JOIN (SELECT unnest(['License', 'the', 'que', 'der']) AS kw) k GROUP BY 1, 2",
     ),
     "keyword_share_by_lang": """
-        SELECT lang, round(avg(CASE WHEN text LIKE '%License%' THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) AS n FROM documents GROUP BY 1""",
+        SELECT lang, round(avg(CASE WHEN text LIKE '%License%' THEN 1e0 ELSE 0e0 END), 6) AS share, count(*) AS n FROM documents GROUP BY 1""",
     "gap_fill_years": (
         """SELECT y, coalesce(n, 0) AS n FROM (SELECT explode(sequence(1990, 2000)) AS y) a
         LEFT JOIN (SELECT year(o_orderdate) AS k, count(*) AS n FROM orders GROUP BY 1) b ON y = k""",
