@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vouchlake.llm.scratch import small_batches
 
-SAMPLE_DOCS, DICT_BYTES, MARGIN = 100, 64 << 10, 0.003
+SAMPLE_DOCS, DICT_BYTES, MARGIN, LEVEL = 100, 64 << 10, 0.001, 6
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -53,8 +53,8 @@ def identify(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes
         packers = []
         for lang, raw in items:
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=3)
-            packers.append((lang, z.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)))
+            d.precompute_compress(level=LEVEL)
+            packers.append((lang, z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)))
         for pdf in batches:
             got = []
             for t in pdf["text"].tolist():

@@ -66,7 +66,7 @@ def signature(shingles: np.ndarray, counts: np.ndarray, m: int = REGISTERS) -> n
     at, alive, state, turn = np.zeros(len(shingles)), np.arange(len(shingles)), shingles.copy(), 0
     while len(alive):
         turn += 1
-        state = _mix(state + _A * np.uint64(turn))
+        state = _mix(state + np.uint64(turn * int(_A) % (1 << 64)))
         u = ((state >> np.uint64(11)).astype(np.float64) + 1) / float(1 << 53)
         at = at - np.log(u) / weight[alive]
         reg = (_mix(state ^ _B) >> np.uint64(40)).astype(np.int64) % m
