@@ -7,7 +7,9 @@ every register's arrival. Equal registers estimate the probability Jaccard. Band
 of four registers give candidates; blocks of a band are linked by a spanning
 forest of estimates, and each candidate component is verified by exact Jaccard of
 shingle sets (0.8 or more), hot components in random bounded blocks, three
-times over, besides their forest edges.
+times over, besides their forest edges. What those blocks may have missed is
+made up exactly: wherever a band's bucket still spans several classes, the
+documents outside its largest class meet all others of the bucket, cell by cell.
 Texts under five words are one shingle; texts without a word match exact
 copies only; null is empty. Rows that share an id are one document.
 """
@@ -126,15 +128,45 @@ def _forest(pdf: pd.DataFrame) -> list[tuple[int, int]]:
     return out
 
 
+def _promising(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """(id, block) of the documents of a cell that meet one of another class."""
+    block, sig = int(pdf["block"].iloc[0]), np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), REGISTERS)
+    ids, classes, need = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), np.zeros(len(pdf), bool)
+    for i in np.flatnonzero(pdf["minor"].to_numpy(bool)):
+        met = ((sig == sig[i]).mean(axis=1) >= ESTIMATE) & (classes != classes[i])
+        if met.any():
+            need |= met
+            need[i] = True
+    return [(int(i), block) for i in np.unique(ids[need])]
+
+
+def _missed(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links between documents of different classes; one for two classes is enough."""
+    ids, classes, shingle, out = pdf["id"].tolist(), pdf["comp"].tolist(), Shingler(), []
+    place = {c: k for k, c in enumerate(sorted(set(classes)))}
+    up, of = list(range(len(place))), [place[c] for c in classes]
+    sets = [shingle(t)[0] for t in pdf["text"]]
+    for i in range(1, len(ids)):
+        for j in range(i):
+            if _root(up, of[i]) != _root(up, of[j]) and _linked(sets[i], sets[j]):
+                up[_root(up, of[i])] = _root(up, of[j])
+                out.append((ids[j], ids[i]))
+    return out
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    if min(len(a), len(b)) < LEAST * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and both >= LEAST * (len(a) + len(b) - both)
+
+
 def _verified(pdf: pd.DataFrame) -> list[tuple[int, int]]:
     ids, shingle, up, out = pdf["id"].tolist(), Shingler(), list(range(len(pdf))), []
     sets = [shingle(t)[0] for t in pdf["text"]]
     for i in range(1, len(ids)):
         for j in range(i):
-            if _root(up, i) == _root(up, j) or min(len(sets[i]), len(sets[j])) < LEAST * max(len(sets[i]), len(sets[j])):
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both and both >= LEAST * (len(sets[i]) + len(sets[j]) - both):
+            if _root(up, i) != _root(up, j) and _linked(sets[i], sets[j]):
                 up[_root(up, i)] = _root(up, j)
                 out.append((ids[j], ids[i]))
     return out
@@ -174,9 +206,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     wanted = texts.dropDuplicates(["id"]) if signed.groupBy("id").count().where("count > 1").limit(1).count() else texts
     ready = wanted.join(groups, "id").repartition("block").sortWithinPartitions("block", "id")
     edges = scratch.cut(ready.select("id", "text", "block").mapInPandas(_grouped("block", _verified), "a long, b long").distinct(), "edges")
-    classes = components(edges, scratch, "classes")
-    named = reps.select("digest", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("class_id"))
-    return signed.select(F.col("id").alias("doc_id"), "digest").join(named, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    first = components(edges, scratch, "classes")
+    # buckets or components beyond one block: who may have missed a link there
+    named = scratch.cut(banded.join(live, "key").join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "named")
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most")).where("classes > 1")
+    within = named.join(hot.select("id").distinct(), "id", "left_semi").select("key").distinct().withColumn("hot", F.lit(True))
+    open_ = open_.join(within, "key", "left").where(F.col("hot") | (F.col("n") > BLOCK)).select("key", "main", F.ceil(F.col("n") / BLOCK).alias("wide"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("deep"))
+    rest = named.drop("count").join(open_, "key").withColumn("minor", F.col("comp") != F.col("main"))
+    across, down = F.pmod(F.xxhash64("id", F.lit(8)), F.col("wide")), F.pmod(F.xxhash64("id", F.lit(9)), F.col("deep"))
+    cell = lambda x, y: F.xxhash64("key", x, y)
+    row = F.transform(F.sequence(F.lit(0).cast("long"), F.col("deep") - 1), lambda y: F.struct(cell(across, y).alias("block"), (F.col("minor") & (y == down)).alias("minor")))
+    column = F.transform(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1), lambda x: F.struct(cell(x, down).alias("block"), F.lit(True).alias("minor")))
+    cells = rest.select("id", "comp", F.explode(F.when(F.col("minor"), F.array_union(row, column)).otherwise(row)).alias("at")).select("id", "comp", "at.block", "at.minor")
+    met = cells.join(sigs, "id").repartition("block").sortWithinPartitions("block", "id").mapInPandas(_grouped("block", _promising), "a long, b long")
+    met = scratch.cut(met.select(F.col("a").alias("id"), F.col("b").alias("block")), "met").join(named.select("id", "comp").distinct(), "id")
+    late = wanted.join(met, "id").repartition("block").sortWithinPartitions("block", "id").select("id", "text", "comp", "block")
+    missed = scratch.cut(late.mapInPandas(_grouped("block", _missed), "a long, b long").distinct(), "missed")
+    classes = first if missed.limit(1).count() == 0 else components(edges.union(missed), scratch, "all")
+    final = reps.select("digest", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("class_id"))
+    return signed.select(F.col("id").alias("doc_id"), "digest").join(final, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
