@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from vouchlake.plans import relational
+from vouchlake.plans import analytics, relational
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,9 +16,10 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", relational.PLANS)
+@pytest.mark.parametrize("name", [*relational.PLANS, *analytics.PLANS])
 def test_plan_matches_sql(spark, db, name):
-    got, want = relational.run(spark, SF, name).toPandas(), db.sql(relational.ORACLE_SQL[name]).df()
+    both, sql = relational.QUERIES | analytics.QUERIES, relational.ORACLE_SQL | analytics.ORACLE_SQL
+    got, want = both[name](spark, SF).toPandas(), db.sql(sql[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert sorted(map(str, got[cols].astype(str).values.tolist())) == sorted(map(str, want[cols].astype(str).values.tolist()))

@@ -113,8 +113,9 @@ PLANS: dict[str, str | tuple[str, str]] = {
 }
 
 
-def run(spark, sf_dir: str, name: str):
-    text = PLANS[name] if isinstance(PLANS[name], str) else PLANS[name][0]
+def run(spark, sf_dir: str, name: str, plans: dict | None = None):
+    plan = (plans or PLANS)[name]
+    text = plan if isinstance(plan, str) else plan[0]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in text}
     return spark.sql(_named(text, used), **used) if used else spark.sql(text)
 
