@@ -43,3 +43,42 @@ def cpe_part(uri: Column, at: int) -> Column:
 def cpe_version(uri: Column) -> Column:
     v = cpe_part(uri, 5)
     return F.when(v.isin("", "*"), "-").otherwise(v)
+
+
+def pdf_date(text: Column) -> Column:
+    """`D:YYYYMMDDHHMMSS+HH'MM'` as a UTC timestamp; missing parts count as the least."""
+    p = r"^(?:D:)?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:Z|([+-])(\d{2})'?(\d{2})?'?)?"
+    g = lambda i: F.nullif(F.regexp_extract(text, p, i), F.lit(""))
+    part = lambda i, least: F.coalesce(g(i), F.lit(least))
+    stamp = F.concat(g(1), F.lit("-"), part(2, "01"), F.lit("-"), part(3, "01"), F.lit(" "), part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"), part(7, "+"), part(8, "00"), F.lit(":"), part(9, "00"))
+    return F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ssXXX"))
+
+
+def plain_contact(text: Column) -> Column:
+    """A mail address with `[at]` and `[dot]` (any brackets or spaces) made plain."""
+    at = F.regexp_replace(text, r"(?i)\s*[\[({<]\s*at\s*[\])}>]\s*", "@")
+    return F.regexp_replace(at, r"(?i)\s*[\[({<]\s*dot\s*[\])}>]\s*", ".")
+
+
+def type_and_number(text: Column) -> Column:
+    """Algorithm name and number, as in `AES 123`; null where either is missing."""
+    p = r"^\s*(\D*[A-Za-z]\D*?)[\s#]*(\d+)\s*$"
+    return F.when(text.rlike(p), F.struct(F.trim(F.regexp_extract(text, p, 1)).alias("type"), F.regexp_extract(text, p, 2).alias("number")))
+
+
+def valid_until(issued: Column, years: int = 5) -> Column:
+    return F.add_months(issued, 12 * years)
+
+
+def softmax(scores: Column) -> Column:
+    """Softmax of an array, steady for large scores."""
+    e = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
+    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+
+
+def platform_fits(title: Column, hardware: Column) -> Column:
+    """A name that states platforms fits hardware that states none or one of them."""
+    #: Platforms and their patterns.
+    stated = {"linux": r"(?i)linux", "mac_os": r"(?i)mac\s?os\s?x?", "windows": r"(?i)windows", "android": r"(?i)android", "ios": r"(?i)(ios|iphone os)"}
+    of = lambda c: F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in stated.items()]))
+    return (F.size(of(title)) == 0) | (F.size(of(hardware)) == 0) | F.arrays_overlap(of(title), of(hardware))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,12 +49,107 @@ def transitive_attribute_propagation(spark: SparkSession, sf_dir: str) -> DataFr
     return closure(_edges(spark, sf_dir)).join(flagged, "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_inherited"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else df.cache()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node weakly connected to it.
+
+    Labels fall along edges and then jump to their label's own label, so that long
+    chains take few rounds. Nodes are those that have an edge.
+    """
+    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    labels = _cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
+        stepped = labels.join(near, "node").select("node", F.least("component", "near").alias("new"), F.col("component").alias("old"))
+        jump = labels.select(F.col("node").alias("new"), F.col("component").alias("root"))
+        moved = _cut(stepped.join(jump, "new").select("node", F.least("new", "root").alias("component"), "old"))
+        labels = moved.select("node", "component")
+        if moved.where("component <> old").limit(1).count() == 0:
+            return labels
+
+
+def hops_to(edges: DataFrame, target: int) -> DataFrame:
+    """(node, hops) of every node that reaches `target`; breadth first, a join a hop."""
+    base = edges.select("src", "dst").distinct()
+    fresh = known = edges.sparkSession.range(1).select(F.lit(target).cast("long").alias("node"), F.lit(0).alias("hops"))
+    while True:
+        step = base.join(fresh.withColumnRenamed("node", "dst"), "dst").select(F.col("src").cast("long").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
+        fresh = _cut(step.join(known.select("node"), "node", "left_anti"))
+        if fresh.limit(1).count() == 0:
+            return known
+        known = _cut(known.union(fresh))
+
+
+def top_parents(parents: DataFrame) -> DataFrame:
+    """(node, top) for (node, parent), parents without a row of their own being tops.
+
+    A node takes over its parent's parent, so a chain of n links takes log2(n)
+    rounds. A node with several parents has a row for each top; nodes on a cycle
+    have none, having no top.
+    """
+    up = _cut(parents.where("parent is not null and node <> parent").select("node", "parent").distinct())
+    top, todo, bound = None, up, up.count()
+    for _ in range(max(1, bound).bit_length() + 1):
+        link = todo.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+        done = todo.join(link.select("parent").distinct(), "parent", "left_anti").select("node", F.col("parent").alias("top"))
+        moved = _cut(todo.join(link, "parent").select("node", F.col("next").alias("parent")).distinct())
+        top = done if top is None else top.union(done)
+        if moved.limit(1).count() == 0:
+            break
+        finished = todo.join(link.select("parent").distinct(), "parent", "left_anti")
+        todo = _cut(moved.union(finished.select("node", "parent")).distinct())
+    return top.distinct()
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).where("src % 7 <> 0")
+
+
+def connected_components_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(_forest(spark, sf_dir))
+
+
+def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(_forest(spark, sf_dir)).groupBy("component").agg(F.count("*").alias("n_nodes"))
+
+
+def shortest_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hops_to(_edges(spark, sf_dir), 1)
+
+
+def rollup_to_top_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_parents(_forest(spark, sf_dir).select(F.col("src").alias("node"), F.col("dst").alias("parent")))
+
+
+def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges at a node over the other nodes; each edge is counted at both its ends."""
+    e = _edges(spark, sf_dir)
+    ends = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    return ends.select("node", "degree", F.round(F.col("degree") / (F.count("*").over(Window.partitionBy()) - 1), 8).alias("centrality"))
+
+
 _E = "(SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey > 1)"
 _C = f"WITH RECURSIVE r AS (SELECT src, dst FROM {_E} UNION SELECT r.src, e.dst FROM r JOIN {_E} e ON r.dst = e.src)"
-QUERIES = {f.__name__: f for f in (edges_direct, closure_indirect, reverse_edges, transitive_attribute_propagation)}
+_F = "(SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey > 1 AND c_custkey % 7 <> 0)"
+_T = f"WITH RECURSIVE t AS (SELECT DISTINCT dst AS node, dst AS component FROM {_F} WHERE dst NOT IN (SELECT src FROM {_F}) UNION ALL SELECT e.src, t.component FROM t JOIN {_F} e ON e.dst = t.node)"
+QUERIES = {
+    f.__name__: f
+    for f in (edges_direct, closure_indirect, reverse_edges, transitive_attribute_propagation, connected_components_forest, component_sizes, shortest_hops, rollup_to_top_parent, degree_centrality)
+}
 ORACLE_SQL = {
     "edges_direct": f"SELECT src, dst FROM {_E}",
     "closure_indirect": f"{_C} SELECT src, dst FROM r",
     "reverse_edges": f"SELECT dst AS node, string_agg(src, ',' ORDER BY src) AS referenced_by FROM {_E} GROUP BY 1",
     "transitive_attribute_propagation": f"{_C} SELECT dst AS node, count(*) AS n_inherited FROM r JOIN customer ON c_custkey = src WHERE c_acctbal < 0 GROUP BY 1",
+    "connected_components_forest": f"{_T} SELECT node, component FROM t",
+    "component_sizes": f"{_T} SELECT component, count(*) AS n_nodes FROM t GROUP BY 1",
+    "shortest_hops": "SELECT c_custkey AS node, cast(length(bin(c_custkey)) - 1 AS integer) AS hops FROM customer WHERE c_custkey >= 1",
+    "rollup_to_top_parent": f"{_T} SELECT node, component AS top FROM t WHERE node <> component",
+    "degree_centrality": f"""
+        SELECT node, count(*) AS degree, round(count(*) / (count(*) OVER () - 1)::double, 8) AS centrality
+        FROM (SELECT src AS node FROM {_E} UNION ALL SELECT dst FROM {_E}) GROUP BY 1""",
 }

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vouchlake.functions import columns
+
 
 def tokens(text: Column) -> Column:
     """Sorted distinct lower-case words."""
@@ -34,6 +36,65 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when(F.length(both) == 0, ratio(left, right)).otherwise(F.greatest(ratio(left, right), ratio(both, left), ratio(both, right)))
 
 
+def name_rating(a: Column, b: Column) -> Column:
+    """Best of the token-set ratio and 100 where one text, or its sorted words, lies inside the other; null for a null."""
+    inside = lambda x, y: F.when(F.length(x) <= F.length(y), y.contains(x)).otherwise(x.contains(y))
+    words = lambda c: F.array_join(F.array_sort(F.split(F.trim(F.lower(c)), "\\s+")), " ")
+    some = (F.length(a) > 0) & (F.length(b) > 0)
+    rating = F.when(some & (inside(a, b) | inside(words(a), words(b))), F.lit(100.0)).otherwise(token_set_ratio(a, b))
+    return F.when(a.isNotNull() & b.isNotNull(), rating)
+
+
+#: Weights of the parts of a scheme entry's score, and what is taken off.
+SCHEME_WEIGHTS, PENALTY = {"product": 6, "vendor": 6, "id": 4, "date": 2, "level": 2}, 2
+
+
+def scheme_score(e: str, c: str) -> Column:
+    """Score of a national scheme's entry (columns `e`_...) and a certificate (`c`_...), 0 to 100.
+
+    Columns: scheme, cert_id, canonical_id (entry), product, vendor, category,
+    report_hash, target_hash, level, valid_from. Certainties come first (same id 100,
+    same names 99, same report 95, same target 93), then the weighted mean of the
+    ratings whose two sides are known, less the penalty.
+    """
+    at = lambda side, name: F.col(f"{side}_{name}")
+    same = lambda name: F.coalesce(at(e, name) == at(c, name), F.lit(False))
+    clean = lambda name: columns.plain_name(at(c, name))
+    days = [f(at(e, "valid_from")) == f(at(c, "valid_from")) for f in (F.year, F.month, F.dayofmonth)]
+    rated = {
+        "product": name_rating(at(e, "product"), clean("product")),
+        "vendor": name_rating(at(e, "vendor"), clean("vendor")),
+        "id": name_rating(at(e, "cert_id"), at(c, "cert_id")),
+        "date": F.lit(1) + sum((F.when(d, 33).otherwise(0) for d in days), F.lit(0)) + F.when(at(e, "valid_from").isNull() | at(c, "valid_from").isNull(), F.lit(None)).otherwise(0),
+        "level": name_rating(at(e, "level"), at(c, "level")),
+    }
+    total = sum((F.when(r.isNotNull(), F.lit(w)).otherwise(0) for r, w in ((rated[k], w) for k, w in SCHEME_WEIGHTS.items())), F.lit(0))
+    mean = sum((F.coalesce(rated[k] * w, F.lit(0.0)) for k, w in SCHEME_WEIGHTS.items()), F.lit(0.0)) / total
+    named = at(e, "product").isNotNull() & at(e, "vendor").isNotNull() & at(c, "product").isNotNull() & at(c, "vendor").isNotNull()
+    other_kind = at(e, "category").isNotNull() & ~same("category")
+    return (
+        F.when(~same("scheme"), 0.0)
+        .when(F.coalesce(at(e, "canonical_id") == at(c, "cert_id"), F.lit(False)), 100.0)
+        .when(~named | other_kind, 0.0)
+        .when(same("product") & same("vendor"), 99.0)
+        .when(same("report_hash"), 95.0)
+        .when(same("target_hash"), 93.0)
+        .otherwise(F.greatest(F.lit(0.0), mean - PENALTY))
+    )
+
+
+def queue_score(e: str, c: str) -> Column:
+    """Score of a queue entry and a certificate: standards must agree, some validation
+    (`c`_validations, an array of dates) must come after the entry unless none is known."""
+    at = lambda side, name: F.col(f"{side}_{name}")
+    product, vendor = columns.plain_name(at(c, "product")), columns.plain_name(at(c, "vendor"))
+    later = F.coalesce(F.size(at(c, "validations")) <= 0, F.lit(True)) | F.exists(at(c, "validations"), lambda d: d > at(e, "date"))
+    fits = F.coalesce((at(e, "standard") == at(c, "standard")) & at(c, "product").isNotNull() & at(c, "vendor").isNotNull() & later, F.lit(False))
+    rated = 0.5 * name_rating(at(e, "product"), product) + 0.5 * name_rating(at(e, "vendor"), vendor)
+    exact = (at(e, "product") == product) & (at(e, "vendor") == vendor)
+    return F.when(~fits, 0.0).when(exact, 99.0).otherwise(F.greatest(F.lit(0.0), F.coalesce(rated, F.lit(0.0)) - PENALTY))
+
+
 def blocked_pairs(left: DataFrame, right: DataFrame, key: str = "token") -> DataFrame:
     """(l, r) that share a token, for (l, l_name) and (r, r_name)."""
     a = left.select("l", F.explode(tokens(F.col("l_name"))).alias(key))
