@@ -152,3 +152,16 @@ def test_mixing(spark, docs, none):
     total = sum(len((r[1] or "").split()) for r in ROWS)
     assert abs(sum(r["taken"] for r in got) - total) <= 4
     assert mixing.mix(spark, none).count() == 0
+
+
+def test_language_margin_does_not_depend_on_length(spark):
+    rnd = np.random.default_rng(3)
+    stock = {lang: ["".join(rnd.choice(list("aeioubcdfgklmnprst"), 6)) for _ in range(100)] for lang in ("xx", "yy")}
+    text = lambda lang, n: " ".join(rnd.choice(stock[lang], n))
+    learned = langid.learn(spark.createDataFrame([(i, text(lang, 20), lang) for i in range(120) for lang in stock], "doc_id long, text string, lang string"))
+    rows = [(1, text("xx", 1_000_000)), (2, text("yy", 1_000_000)), (3, text("xx", 200)), (4, "qq")]
+    rows += [(5 + i, f"{text('xx', 1)[:5]} {text('yy', 1)[:5]} z{i}") for i in range(300)]
+    got = {r["doc_id"]: r for r in langid.identify(spark, spark.createDataFrame(rows, "doc_id long, text string"), learned).collect()}
+    assert [(got[i]["lang_pred"], got[i]["rejected"]) for i in (1, 2, 3)] == [("xx", False), ("yy", False), ("xx", False)]
+    near = [r["rejected"] for r in got.values() if r["score"] < 0.8]  # a lead of one byte or none
+    assert len(near) > 9 and all(near)

@@ -3,7 +3,10 @@
 A bounded sample of labelled rows (SAMPLE_DOCS for each language, lowest hash
 first, at most DICT_BYTES of dictionary) makes one zstandard raw-content
 dictionary a language; a text belongs to the language whose dictionary encodes
-it smallest. Narrow margins are rejected. Null or letterless text is `und`.
+it smallest. Every BLOCK bytes of a text are encoded afresh and the sizes added
+up, so that the saving by a dictionary grows with the text. A lead of under GAP
+bytes (short ambiguous texts) or under MARGIN of the size is rejected. Null or
+letterless text is `und`.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 
 from vouchlake.llm.scratch import small_batches
 
-SAMPLE_DOCS, DICT_BYTES, MARGIN, LEVEL = 100, 64 << 10, 0.001, 6
+SAMPLE_DOCS, DICT_BYTES, LEVEL = 100, 64 << 10, 6
+BLOCK, GAP, MARGIN = 32 << 10, 2, 0.01
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -62,11 +66,12 @@ def identify(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes
                 if not clean or not packers:
                     got.append(("und", 0.0, True))
                     continue
-                sizes = sorted((len(c.compress(clean)), lang) for lang, c in packers)
+                parts = [clean[i : i + BLOCK] for i in range(0, len(clean), BLOCK)]
+                sizes = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in packers)
                 best, second = sizes[0][0], sizes[1][0] if len(sizes) > 1 else sizes[0][0] * 2
                 margin = (second - best) / max(1, second)
                 score = 1 / sum(math.exp(-min(50.0, n - best)) for n, _ in sizes)
-                got.append((sizes[0][1], score, margin < MARGIN))
+                got.append((sizes[0][1], score, margin < MARGIN or second - best < GAP))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "rejected": [g[2] for g in got]})
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
