@@ -165,3 +165,39 @@ def test_language_margin_does_not_depend_on_length(spark):
     assert [(got[i]["lang_pred"], got[i]["rejected"]) for i in (1, 2, 3)] == [("xx", False), ("yy", False), ("xx", False)]
     near = [r["rejected"] for r in got.values() if r["score"] < 0.8]  # a lead of one byte or none
     assert len(near) > 9 and all(near)
+
+
+LICENSED = {
+    "MIT License\n\nCopyright (c) 2020 X\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n": "MIT",
+    "The code is released under the MIT License.": "MIT",
+    "// SPDX-License-Identifier: MIT\nint x;": "MIT",
+    "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#   http://www.apache.org/licenses/LICENSE-2.0\n": "Apache-2.0",
+    " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n": "GPL-3.0-or-later",
+    "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; version 2\nof the License.": "GPL-2.0",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.": "LGPL-2.1-or-later",
+    "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "AGPL-3.0-or-later",
+    "This program is free software. You should have received a copy of the GNU General Public License along with this program.": "GPL",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n": "BSD-2-Clause",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+    "This is free and unencumbered software released into the public domain.": "Unlicense",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    "some words\nLicensed under CC0 1.0\nmore words": "CC0-1.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "This file is not licensed under the MIT License.": "", "He said that this is licensed under the MIT License.": "", "This program is free software.": "",
+    "The license of MIT students was permission.": "",
+}
+
+
+def test_licence_texts_and_notices(spark):
+    bsd = next(t for t, x in LICENSED.items() if x == "BSD-2-Clause")
+    more = {bsd + "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n": "BSD-3-Clause"}
+    rows = list(enumerate((LICENSED | more).items()))
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in rows], "doc_id long, text string")).collect()}
+    assert [(t, got[i]) for i, (t, want) in rows if got[i] != want] == []
+
+
+def test_every_licence_identifier_is_in_a_rule():
+    table = license_scan.SENTENCES.values()
+    names = getattr(license_scan, "NAMES", {})
+    assert {*table, *names} == {i for rule, _ in license_scan.RULES for i in rule}
