@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Queries and rows held by one task of a vector search.
+QUERY_BLOCK, ROW_BLOCK = 128, 16_384
+
 
 def garbage_text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that look unreadable: few lines, little text, short lines, few letters."""
@@ -30,7 +35,43 @@ def vector_knn_grouped(spark: SparkSession, sf_dir: str, k: int = 200) -> DataFr
     return near.groupBy("label").agg(F.count("*").alias("n"), F.round(0.7 * F.min("d") + 0.3 * F.avg("d"), 5).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (garbage_text_flags, chunk_text_overlap, vector_knn_grouped)}
+def vector_search(vectors: DataFrame, every: int = 100, k: int = 2000) -> DataFrame:
+    """query_id, label, n, score over the k rows nearest to each row whose id is divisible by `every`.
+
+    Blocks of queries meet blocks of rows, each pair in a task of bounded size, and
+    leave at most k rows a query; of these the nearest k are taken.
+    """
+    e = vectors.select("vec_id", "label", F.expr("transform(embedding, x -> cast(x as double))").alias("v"))
+    asked = F.col("vec_id") % every == 0
+    counts = e.agg(F.count("*").alias("n"), F.count(F.when(asked, 1)).alias("q")).first()
+    tall, wide = max(1, -(-counts["q"] // QUERY_BLOCK)), max(1, -(-counts["n"] // ROW_BLOCK))
+    rows = e.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(wide).cast("long"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tall - 1).cast("long"))))
+    queries = e.where(asked).select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(tall).cast("long")).alias("block"), F.col("vec_id").alias("query_id"), "v").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long"))))
+
+    def nearest(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            r = r.sort_values("vec_id", kind="stable")
+            ids, labels, dims = r["vec_id"].to_numpy(), r["label"].to_numpy(), np.ascontiguousarray(np.stack(r["v"].to_list()).T)
+            for query, at in zip(q["query_id"], q["v"], strict=True):
+                d = np.zeros(len(ids))
+                for x, y in zip(dims, at, strict=True):
+                    d += (x - y) ** 2
+                best = np.argsort(d, kind="stable")[:k]
+                out.append(pd.DataFrame({"query_id": query, "label": labels[best], "vec_id": ids[best], "d": d[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "label": [], "vec_id": [], "d": []})
+
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    met = queries.groupBy("block", "slice").cogroup(rows.groupBy("block", "slice")).applyInPandas(nearest, f"query_id {kinds['vec_id']}, label {kinds['label']}, vec_id {kinds['vec_id']}, d double")
+    near = met.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))).where(F.col("rn") <= k)
+    return near.groupBy("query_id", "label").agg(F.count("*").alias("n"), F.round(0.7 * F.min("d") + 0.3 * F.avg("d"), 5).alias("score"))
+
+
+def vector_search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (garbage_text_flags, chunk_text_overlap, vector_knn_grouped, vector_search_grouped)}
 ORACLE_SQL = {
     "garbage_text_flags": """
         SELECT doc_id, n_lines < 30 AS few_lines, n < 1000 AS small, n / n_lines < 10 AS short_lines, alpha / n < 0.5 AS few_letters FROM (
@@ -42,4 +83,9 @@ ORACLE_SQL = {
         SELECT label, count(*) AS n, round(0.7 * min(d) + 0.3 * avg(d), 5) AS score FROM (
           SELECT e.label, e.vec_id, list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (e.embedding[i]::double - q.embedding[i]::double) ** 2)) AS d
           FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY d, vec_id LIMIT 200) GROUP BY 1""",
+    "vector_search_grouped": """
+        SELECT query_id, label, count(*) AS n, round(0.7 * min(d) + 0.3 * avg(d), 5) AS score FROM (
+          SELECT query_id, label, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rn FROM (
+            SELECT q.vec_id AS query_id, e.vec_id, e.label, list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (e.embedding[i]::double - q.embedding[i]::double) ** 2)) AS d
+            FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rn <= 2000 GROUP BY 1, 2""",
 }
