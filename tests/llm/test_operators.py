@@ -201,3 +201,14 @@ def test_every_licence_identifier_is_in_a_rule():
     table = license_scan.SENTENCES.values()
     names = getattr(license_scan, "NAMES", {})
     assert {*table, *names} == {i for rule, _ in license_scan.RULES for i in rule}
+
+
+def test_near_copies_with_other_repeat_counts(spark):
+    rnd, rows = np.random.default_rng(5), []
+    for g in range(30):
+        base, passage = [" ".join(f"g{g}w{x}" for x in rnd.integers(0, 10**6, n)) for n in (84, 24)]
+        rows += [(2 * g, f"{base} {passage}"), (2 * g + 1, " ".join([base, *[passage] * 50]))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [set(near_dedup.Shingler()(t)[0].tolist()) for _, t in rows]
+    alike = [g for g in range(30) if len(sets[2 * g] & sets[2 * g + 1]) >= 0.8 * len(sets[2 * g] | sets[2 * g + 1])]
+    assert len(alike) == 30 and got == {i: i - i % 2 for i in range(60)}
