@@ -35,6 +35,23 @@ def vector_knn_grouped(spark: SparkSession, sf_dir: str, k: int = 200) -> DataFr
     return near.groupBy("label").agg(F.count("*").alias("n"), F.round(0.7 * F.min("d") + 0.3 * F.avg("d"), 5).alias("score"))
 
 
+def garbage(docs: DataFrame) -> DataFrame:
+    """The five tests of unreadable text and their verdict, for every document; null is empty, and empty is garbage.
+
+    Lines end where str.splitlines() ends them; letters are those of any script.
+    """
+    text = F.coalesce("text", F.lit(""))
+    pieces = F.split(text, "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]", -1)
+    lines = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+    d = docs.select("doc_id", F.length(text).alias("n"), F.length(F.regexp_replace(text, "\\P{L}+", "")).alias("alpha"), lines.alias("lines"))
+    second = F.transform("lines", lambda s: F.regexp_replace(s, "(?s).(.?)", "$1"))
+    varied = F.size(F.filter(second, lambda s: F.replace(s, F.substring(s, 1, 1), F.lit("")) != ""))
+    content = F.aggregate("lines", F.lit(0).cast("long"), lambda a, s: a + F.length(s))
+    tests = {"few_lines": F.size("lines") < 30, "small": F.col("n") < 1000, "short_lines": (content < 10 * F.size("lines")) | (content == 0), "few_every_second": varied < 15, "few_letters": (F.col("alpha") < 0.5 * F.col("n")) | (F.col("n") == 0)}
+    flagged = d.select("doc_id", *[t.alias(name) for name, t in tests.items()])
+    return flagged.withColumn("garbage", F.greatest(*tests))
+
+
 def vector_search(vectors: DataFrame, every: int = 100, k: int = 2000) -> DataFrame:
     """query_id, label, n, score over the k rows nearest to each row whose id is divisible by `every`.
 
@@ -67,11 +84,15 @@ def vector_search(vectors: DataFrame, every: int = 100, k: int = 2000) -> DataFr
     return near.groupBy("query_id", "label").agg(F.count("*").alias("n"), F.round(0.7 * F.min("d") + 0.3 * F.avg("d"), 5).alias("score"))
 
 
+def garbage_text_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbage(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def vector_search_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (garbage_text_flags, chunk_text_overlap, vector_knn_grouped, vector_search_grouped)}
+QUERIES = {f.__name__: f for f in (garbage_text_flags, chunk_text_overlap, vector_knn_grouped, garbage_text_detector, vector_search_grouped)}
 ORACLE_SQL = {
     "garbage_text_flags": """
         SELECT doc_id, n_lines < 30 AS few_lines, n < 1000 AS small, n / n_lines < 10 AS short_lines, alpha / n < 0.5 AS few_letters FROM (
@@ -83,6 +104,13 @@ ORACLE_SQL = {
         SELECT label, count(*) AS n, round(0.7 * min(d) + 0.3 * avg(d), 5) AS score FROM (
           SELECT e.label, e.vec_id, list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: (e.embedding[i]::double - q.embedding[i]::double) ** 2)) AS d
           FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY d, vec_id LIMIT 200) GROUP BY 1""",
+    "garbage_text_detector": r"""
+        SELECT *, few_lines OR small OR short_lines OR few_every_second OR few_letters AS garbage FROM (
+          SELECT doc_id, len(l) < 30 AS few_lines, n < 1000 AS small, coalesce(list_sum(list_transform(l, lambda s: length(s))) / len(l), 0) < 10 AS short_lines,
+                 len(list_filter(l, lambda s: len(list_distinct(list_filter(regexp_extract_all(s, '(?s).'), lambda c, i: i % 2 = 0))) > 1)) < 15 AS few_every_second,
+                 n = 0 OR alpha / n < 0.5 AS few_letters FROM (
+            SELECT doc_id, length(t) AS n, length(regexp_replace(t, '[^\pL]', '', 'g')) AS alpha, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS l FROM (
+              SELECT doc_id, t, regexp_split_to_array(t, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))))""",
     "vector_search_grouped": """
         SELECT query_id, label, count(*) AS n, round(0.7 * min(d) + 0.3 * avg(d), 5) AS score FROM (
           SELECT query_id, label, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rn FROM (
