@@ -3,25 +3,28 @@
 A rolling hash over seven bytes ends a chunk where it falls under 2^32 / block
 size; each chunk gives one signature character. The block size is the smallest
 of the family 4, 8, 16, ... with at most 64 chunks, and the fingerprint holds
-the signatures at that size and at its double. Fingerprints compare by edit
-distance at a common block size; a common run of four characters is asked for.
-Null text is empty; two empty texts are alike (1.0).
+the signatures at that size and at its double, then five characters of a hash
+of the whole text. Equal fingerprints are alike (1.0). Others compare by edit
+distance at a common block size, where a common run of four characters is asked
+for: signatures under four characters, of very short texts, are never alike.
+Null text is empty.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vouchlake.llm.scratch import small_batches
+from vouchlake.llm.scratch import Scratch, small_batches
 
 _CHARS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 MOST, RUN = 64, 4
-RANGE_ROWS = 4000
 
 
 def rolling(data: bytes) -> np.ndarray:
@@ -52,15 +55,16 @@ def fingerprint(text: str) -> str:
     block = 4
     while np.count_nonzero(h < (1 << 32) // block) >= MOST:
         block *= 2
-    return f"{block}:{_signature(h, block)}:{_signature(h, 2 * block)}"
+    whole = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "big") >> 2
+    check = "".join(chr(_CHARS[whole >> 6 * i & 63]) for i in range(5))
+    return f"{block}:{_signature(h, block)}:{_signature(h, 2 * block)}:{check}"
 
 
 def _alike(a: str, b: str) -> float:
+    if not {a[i : i + RUN] for i in range(len(a) - RUN + 1)} & {b[i : i + RUN] for i in range(len(b) - RUN + 1)}:
+        return 0.0
     if a == b:
         return 1.0
-    k = min(RUN, len(a), len(b))
-    if k == 0 or not {a[i : i + k] for i in range(len(a) - k + 1)} & {b[i : i + k] for i in range(len(b) - k + 1)}:
-        return 0.0
     # bit-parallel longest common subsequence: edit distance without substitution
     where: dict[str, int] = {}
     for i, c in enumerate(a):
@@ -75,7 +79,9 @@ def _alike(a: str, b: str) -> float:
 
 def likeness(a: str, b: str) -> float:
     """0 to 1; 0 where no block size is common to both."""
-    (x, x1, x2), (y, y1, y2) = a.split(":"), b.split(":")
+    if a == b:
+        return 1.0
+    (x, x1, x2, _), (y, y1, y2, _) = a.split(":"), b.split(":")
     x, y = int(x), int(y)
     if x == y:
         return max(_alike(x1, y1), _alike(x2, y2))
@@ -89,51 +95,60 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FIELDS = [c.split()[0] for c in ROW.split(", ")]
+
+
+def _row(a: tuple, b: tuple) -> tuple:
+    """The result's row for (doc_id, text, fingerprint), given those of the next document."""
+    e = edited(a[1], b[1])
+    fe = fingerprint(e)
+    return a[0], len(a[1]), hashlib.sha256(e.encode()).hexdigest(), a[2], fe, likeness(a[2], fe), likeness(a[2], b[2])
+
+
 def compare_with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, its edited text and its neighbour in descending doc_id.
 
-    Rows are dealt by ranges of doc_id; the first row of each range also goes to
-    the range before it, so that every row meets its successor. Rows that share
-    a doc_id are ordered by text.
+    Texts are sorted by range of doc_id, once. A task compares each of its rows
+    with the one after it and hands out its first and last document; these, two
+    a task, meet in a second small pass. Rows that share a doc_id are ordered by
+    the SHA-256 of the text. A document alone follows itself. Empty input gives
+    an empty result; other columns are ignored.
     """
     small_batches(spark)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = ids.count()
-    ranges = max(1, n // RANGE_ROWS)
-    cuts = sorted(set(ids.agg(F.expr(f"percentile_approx(doc_id, array({','.join(str(i / ranges) for i in range(1, ranges))}), 100000)")).first()[0])) if ranges > 1 else []
-
-    @F.pandas_udf("long")
-    def range_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), x.to_numpy(), side="left"))
-
-    placed = ids.withColumn("r", range_of("doc_id"))
-    heads = sorted(((r["r"], r["d"]) for r in placed.groupBy("r").agg(F.max("doc_id").alias("d")).collect()), reverse=True)  # a row for each range
-    extra = [(d, heads[i - 1][0]) for i, (_, d) in enumerate(heads)]
-    borrow = spark.createDataFrame(extra, "doc_id long, also long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(borrow), "doc_id", "left").withColumn("r", range_of("doc_id"))
-    own = F.struct(F.col("r").alias("r"), F.lit(0).alias("guest"))
-    both = F.array(own, F.struct(F.col("also").alias("r"), F.lit(1).alias("guest")))
-    dealt = rows.withColumn("at", F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(both))).select("at.r", "at.guest", "doc_id", "text")
-    # of guests that share a doc_id only the first in order is a successor
-    dealt = dealt.repartition(max(ranges, 12), "r").sortWithinPartitions("r", "guest", F.desc("doc_id"), "text")
+    scratch = Scratch(spark, "fingerprints")
+    text = F.coalesce("text", F.lit(""))
+    order = [F.desc("doc_id"), F.col("digest")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        last = None
+        part, last = TaskContext.get().partitionId(), None
+        columns = [*FIELDS, "end", "part", "text"]
 
-        def row(a: tuple, b: tuple) -> tuple:
-            e = edited(a[2], b[2])
-            fe = fingerprint(e)
-            return a[1], len(a[2]), hashlib.sha256(e.encode()).hexdigest(), a[3], fe, likeness(a[3], fe), likeness(a[3], b[3])
+        def end(kind: str, of: tuple) -> tuple:
+            return of[0], 0, "", "", "", 0.0, 0.0, kind, part, of[1]
 
         for pdf in batches:
             out = []
-            for r, guest, doc, text in zip(pdf["r"].tolist(), pdf["guest"].tolist(), pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
-                now = (r, doc, text, fingerprint(text))
-                if last is not None and last[0] == r:
-                    out.append(row(last, now))
-                last = None if guest else now
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-    return dealt.select("r", "guest", "doc_id", "text").mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for doc, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+                now = (doc, t, fingerprint(t))
+                out.append(end("first", now) if last is None else (*_row(last, now), "", part, ""))
+                last = now
+            yield pd.DataFrame(out, columns=columns)
+        if last is not None:
+            yield pd.DataFrame([end("last", last)], columns=columns)
+
+    made = scratch.cut(dealt.mapInPandas(run, f"{ROW}, end string, part int, text string"), "made")
+    # which task follows which: one row for each task that had rows
+    firsts, lasts = made.where("end = 'first'"), made.where("end = 'last'").select("doc_id", "text", "part")
+    w = Window.orderBy("part")
+    after = firsts.select("part", F.coalesce(F.lead("part").over(w), F.first("part").over(w)).alias("next"))
+    pairs = lasts.join(after, "part").join(firsts.select(F.col("part").alias("next"), F.col("text").alias("following")), "next").select("doc_id", "text", "following")
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [_row((d, t, fingerprint(t)), (None, f, fingerprint(f))) for d, t, f in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), pdf["following"].tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=FIELDS)
+
+    return made.where("end = ''").select(*FIELDS).union(pairs.mapInPandas(close, ROW))
