@@ -3,8 +3,10 @@
 Every document gets a hash-random key. A source's documents are cut into ranges
 of that key, ranges are summed, and running sums inside and over the ranges
 give each document its place; the budget of a source cuts that order exactly,
-after as many whole epochs as fit. Null text has size 0; null source is a
-source of its own, last. Empty input gives an empty result.
+after as many whole epochs as fit. No range holds much over RANGE_ROWS rows or
+a RANGES-th of all. Null text has size 0; null source is a source of its own,
+last. Rows that share an id are told apart by their text, and rows that repeat
+both follow each other. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from vouchlake.llm.scratch import Scratch
 
-RANGE_ROWS = 20_000
+RANGE_ROWS, RANGES = 20_000, 64
 
 
 def size_of(text: F.Column) -> F.Column:
@@ -49,9 +51,10 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     key = F.xxhash64(F.col(id_col), text, F.lit(seed))
     rows = scratch.cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), size_of(text).alias("size"), key.alias("key")), "rows")
     stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    everything = sum(r["n"] for r in stats)
     goal = targets([(r["source"], r["source_size"]) for r in stats])
     table = spark.createDataFrame(
-        [(r["source"], int(r["source_size"]), float(goal[r["source"]]), int(round(goal[r["source"]])), max(1, r["n"] // RANGE_ROWS)) for r in stats],
+        [(r["source"], int(r["source_size"]), float(goal[r["source"]]), int(round(goal[r["source"]])), max(1, r["n"] // RANGE_ROWS, RANGES * r["n"] // everything)) for r in stats],
         "source2 string, source_size long, target double, budget long, ranges long",
     )
     pos = (F.shiftrightunsigned("key", 33)).cast("long")
