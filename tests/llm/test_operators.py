@@ -49,6 +49,26 @@ def test_index_keeps_earlier_batches(spark, docs, tmp_path):
     assert (got["keep_id"], got["kept"], index.read().count()) == (4, False, 1)
 
 
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    rows = spark.createDataFrame([(5, "A"), (7, "A"), (5, "B"), (5, "B"), (None, "C")], "doc_id long, text string")
+    got = sorted(map(tuple, exact_dedup.keep_first_copies(spark, rows).collect()), key=str)
+    assert got == [(5, "B"), (7, "A"), (None, "C")]
+
+
+def test_index_opens_as_it_was_written(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id doc_id", "concat('text ', id) text")
+    path = f"file://{tmp_path}/index"
+    exact_dedup.exact_dedup(spark, rows, index=exact_dedup.DigestIndex(spark, path, 4)).count()
+    spark.sql(f"DROP TABLE {exact_dedup.DigestIndex(spark, path).table}")  # as a later session finds it
+    index = exact_dedup.DigestIndex(spark, path, 8)
+    assert (index.buckets, index.read().count()) == (4, 200)
+    got = exact_dedup.exact_dedup(spark, rows.selectExpr("doc_id + 1000 doc_id", "text"), index=index)
+    assert got.where("kept or keep_id >= 200").count() == 0 and index.read().count() == 200
+    index.compact(8)
+    again = exact_dedup.DigestIndex(spark, path, 2)
+    assert (again.generation, again.buckets, again.read().count()) == (2, 8, 200)
+
+
 def test_near(spark, docs, none):
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark, docs).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 9}
@@ -86,12 +106,36 @@ def test_sharding(spark, docs, none):
 
 
 def test_rebalance_moves_little():
-    sizes = {(i, 0): 10 for i in range(100)}
+    sizes = {(i, 0, 0): 10 for i in range(100)}
     old = sharding.assign(sizes, 4)
-    new = sharding.rebalance(old, sizes | {(0, 0): 100}, 4)
+    new = sharding.rebalance(old, sizes | {(0, 0, 0): 100}, 4)
     assert sum(old[u] != new[u] for u in old) < 20
 
 
+def test_shards_are_balanced_and_groups_stay_whole(spark, tmp_path):
+    rows = [(i, f"text {i} " + "x" * (i * 37 % 300)) for i in range(6000)]
+    rows += [(10_000 + i, "whole " * 10) for i in range(700)]  # fits one shard of 16
+    rows += [(20_000 + i, "too large for one shard " * 10) for i in range(2000)]
+    first = [*rows, (30_000, None), (30_001, "")]
+    path = f"file://{tmp_path}/map"
+    got = sharding.shard(spark, spark.createDataFrame(first, "doc_id long, text string"), map_path=path).collect()
+    load, slots, by_text, text = defaultdict(int), defaultdict(list), defaultdict(set), dict(first)
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        by_text[text[r["doc_id"]] or ""].add(r["shard"])
+        assert r["size"] == len((text[r["doc_id"]] or "").encode()) + 1
+    assert len(got) == len(first) and set(load) == set(range(16)) and max(load.values()) < 1.01 * min(load.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert [t for t, s in by_text.items() if len(s) > 1] == ["too large for one shard " * 10]
+    # the next version, with more rows, moves few of the old ones
+    more = [*first, *[(40_000 + i, f"more {i} " * 20) for i in range(500)]]
+    then = {r["doc_id"]: r for r in sharding.shard(spark, spark.createDataFrame(more, "doc_id long, text string"), map_path=path).collect()}
+    old = {r["doc_id"]: r["shard"] for r in got}
+    assert {r["map_version"] for r in then.values()} == {2} and sharding.SlotMap(spark, path).versions() == [1, 2]
+    assert sum(then[d]["shard"] != s for d, s in old.items()) < 0.15 * len(old)
+
+
 def test_language(spark, docs, none):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark, docs, langid.learn(docs)).collect()}
     assert got[1] == got[2] == got[9] == "und" and got[5] == "de"
@@ -140,6 +184,42 @@ def test_quality(spark, docs, none):
     assert quality.score(spark, none, labels.limit(0)).count() == 0
 
 
+def test_quality_without_labels_keeps_all(spark, docs):
+    for rows in ([], [(3, 1), (4, 1), (5, None)]):
+        got = quality.score(spark, docs, spark.createDataFrame(rows, "doc_id long, quality int")).collect()
+        assert len(got) == len(ROWS) and {(r["quality"], r["keep"]) for r in got} == {(0.5, True)}
+
+
+def test_quality_against_a_plain_version(spark):
+    rnd = np.random.default_rng(9)
+    good, bad = [[f"{s}{x}" for x in ("ab", "cd", "ef", "gh", "ij", "kl")] for s in ("fine", "junk")]
+    rows = [(i, " ".join(rnd.choice(good if i % 3 else bad, 8)), "en", f"s{i % 4}") for i in range(900)]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 900, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.score(spark, docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert np.mean([got[i]["keep"] == (i % 3 > 0) for i in range(900) if i % 4]) > 0.97
+    # the lexical score by hand: log odds of present features, per group over the root of their number
+    at, odds = (0, 3, 6), np.array([1.0, 2.0, 4.0, -1.0, 0.5, 8.0])
+    view = quality.View(at, odds, np.array([0.5, 2.0, 0.25]))
+    sets = [np.array(x, np.uint16) for x in ([0, 2, 4], [3, 5], [])]
+    plain = []
+    for x in sets:
+        parts = [[odds[i] for i in x if lo <= i < hi] for lo, hi in ((0, 3), (3, 6))]
+        plain.append(sum(w * sum(p) / max(1, len(p)) ** 0.5 for w, p in zip((0.5, 2.0), parts)) + 0.25)
+    assert np.allclose(view.logit(sets), plain)
+
+
+def test_quality_counts_of_a_view():
+    counts, n = quality.counted((0, 4), [np.array([0, 2]), np.array([2, 3]), np.array([2])], np.array([1, 0, 1]))
+    assert counts.tolist() == [[0, 0, 1, 1], [1, 0, 2, 0]] and n.tolist() == [1, 2]
+
+
+def test_language_of_number_signs_is_undetermined(spark, docs):
+    rows = spark.createDataFrame([(1, "\u00bd \u00b2"), (2, "\u2167"), (3, "\u00b2 word1 word2")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark, rows, langid.learn(docs)).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und"
+
+
 def test_licenses(docs, none):
     got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(docs).collect()}
     assert got[3] == "Apache-2.0" and got[1] == got[8] == ""
@@ -154,6 +234,32 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(spark, none).count() == 0
 
 
+def test_mixing_against_a_plain_version(spark):
+    rnd = np.random.default_rng(1)
+    rows = [(i, None if i % 50 == 0 else "w " * int(rnd.integers(0, 30)), None if i % 7 == 0 else f"s{int(rnd.integers(0, 10) ** 2 // 25)}") for i in range(3000)]
+    got = mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    size, source = {i: len((t or "").split()) for i, t, _ in rows}, {i: s for i, _, s in rows}
+    total, mine = sum(size.values()), defaultdict(int)
+    for i, n in size.items():
+        mine[source[i]] += n
+    order = sorted(mine, key=lambda s: (s is None, s or ""))
+    weight, want, left = {s: k % 3 + 1 for k, s in enumerate(order)}, {}, dict.fromkeys(order)
+    rest = total
+    while left:
+        unit = rest / sum(weight[s] for s in left)
+        over = [s for s in left if weight[s] * unit > 3 * mine[s]]
+        for s in over or list(left):
+            want[s] = 3 * mine[s] if over else weight[s] * unit
+            del left[s]
+        rest = total - sum(want.values())
+    taken = defaultdict(int)
+    for r in got:
+        taken[source[r["doc_id"]]] += r["taken"]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == mine[source[r["doc_id"]]]
+        assert abs(r["target"] - want[source[r["doc_id"]]]) < 1e-6 and r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in order)
+
+
 def test_language_margin_does_not_depend_on_length(spark):
     rnd = np.random.default_rng(3)
     stock = {lang: ["".join(rnd.choice(list("aeioubcdfgklmnprst"), 6)) for _ in range(100)] for lang in ("xx", "yy")}

@@ -6,7 +6,9 @@ dictionary a language; a text belongs to the language whose dictionary encodes
 it smallest. Every BLOCK bytes of a text are encoded afresh and the sizes added
 up, so that the saving by a dictionary grows with the text. A lead of under GAP
 bytes (short ambiguous texts) or under MARGIN of the size is rejected. Null or
-letterless text is `und`.
+letterless text is `und` and rejected. Ties go to the language first in order. A
+language with under 8 bytes of letters in its sample is not learned. Rows that
+share an id are judged each by its text. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 
 def letters(text: str | None) -> str:
-    return " ".join(_WORDS.findall(text.lower())) if text else ""
+    """The words of a text in lower case; empty where it has no letter (`²` or `Ⅷ` are none)."""
+    words = " ".join(_WORDS.findall(text.lower())) if text else ""
+    return words if any(map(str.isalpha, words)) else ""
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
@@ -82,6 +86,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def confident(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents whose language is not rejected, with their own columns."""
+    """The documents whose language is not rejected, with their own columns; of rows
+    that share an id, all go if one is rejected."""
     bad = identify(spark, docs, learn(docs.where(~held_out(F.col("doc_id"))))).where("rejected").select(F.col("doc_id").alias("__id"))
     return docs.join(bad, F.col("doc_id") == F.col("__id"), "left_anti")
