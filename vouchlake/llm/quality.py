@@ -3,8 +3,8 @@
 The text view reads words, the letter triples of words and surface ratios of the
 text; the metadata view reads source, language and length band. Each view is a
 naive Bayes model over hashed features, calibrated by a logistic regression on
-labelled rows set aside. Labels are fitted on a bounded sample (SAMPLE rows,
-lowest hash first). Over ROUNDS each view labels all unlabelled documents; those
+labelled rows set aside. Labels are fitted on a bounded sample (SAMPLE documents,
+lowest hash first). Over ROUNDS each view labels all other documents; those
 it is sure of (SURE) are counted, by distributed sums over the whole table, into
 the other view's training counts, together as heavy as the labels at most. The
 combined score weighs the calibrated views by their log loss and covers all
@@ -141,11 +141,12 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "meta": packed, "x": [feature(t).tobytes() for t in pdf["text"]]})
 
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
-    made = rows.mapInPandas(features, "doc_id long, meta binary, x binary")
-    feats = scratch.cut(made.join(known, "doc_id", "left"), "features")
-    labelled = feats.where("y is not null").withColumn("h", F.xxhash64("doc_id", F.lit(5)))
-    share = min(1.0, 1.2 * SAMPLE / max(1, labelled.count()))
-    train = labelled.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).orderBy("h", "doc_id").limit(SAMPLE).toPandas()
+    feats = scratch.cut(rows.mapInPandas(features, "doc_id long, meta binary, x binary"), "features")
+    # about SAMPLE labels by hash; few enough for every task
+    share = min(1.0, 1.2 * SAMPLE / max(1, known.count()))
+    h = F.xxhash64("doc_id", F.lit(5))
+    sampled = scratch.cut(known.where(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20)).orderBy(h, "doc_id").limit(SAMPLE), "labels")
+    train = feats.join(F.broadcast(sampled), "doc_id").orderBy(h, "doc_id", "x").toPandas()
     y = (train["y"].to_numpy(float) > 0.5).astype(int)
     if len(set(y.tolist())) < 2:
         half = F.lit(0.5)
@@ -178,7 +179,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return run
 
-    free = feats.where("y is null").select("meta", "x")
+    free = feats.join(F.broadcast(sampled.select("doc_id")), "doc_id", "left_anti").select("meta", "x")
     for _ in range(ROUNDS):
         sums = free.mapInPandas(sure(views), "view string, label int, feature int, n double").groupBy("view", "label", "feature").agg(F.sum("n").alias("n")).toPandas()
         for c, at in sides.items():
