@@ -12,16 +12,18 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("levels", "want"),
-    [(["EAL5", "EAL4+", "EAL3", "random", "EAL7+", "EAL2"], "EAL2"), (["EAL1", "EAL1+", "EAL2"], "EAL1"), (["random"], None), (["EAL5+", "EAL6"], "EAL5+"), (["EAL100", "EAL10", "EAL20+"], "EAL10")],
+    [(["EAL6+", "none", "EAL4 augmented", "EAL4+"], "EAL4"), (["package EAL2+, ALC_FLR.1", "EAL3"], "EAL2+"), (["basic", ""], None), (["EAL12", "EAL7+"], "EAL7+"), ([], None)],
 )
 def test_lowest_level(spark, levels, want):
-    assert one(spark, C.lowest_level(F.array(*map(F.lit, levels)))) == want
+    assert one(spark, C.lowest_level(F.array(*map(F.lit, levels)).cast("array<string>"))) == want
 
 
 def test_versions_and_names(spark):
     assert one(spark, C.versions(F.lit("Single Sign-On, Version 8.2"))) == ["8.2"]
     assert one(spark, C.versions(F.lit("Product 7"))) == ["7"]
     assert one(spark, C.versions(F.lit("Product"))) == ["-"]
+    assert one(spark, C.versions(F.lit("Build123.4 and v1.2, again 1.2"))) == ["123.4", "1.2"]
+    assert one(spark, C.cpe_part(F.lit("cpe:2.3:a:end\\\\:item:1"), 4)) == "item"
     uri = F.lit("cpe:2.3:a:ven\\:dor:item:*:x")
     assert (one(spark, C.cpe_part(uri, 3)), one(spark, C.cpe_version(uri))) == ("ven:dor", "-")
     assert one(spark, C.sanitize_link(F.lit("http://a.b:443/x y"))) == "https://a.b/x%20y"

@@ -49,16 +49,17 @@ def test_feeds_lookup_and_validity(spark, tmp_path):
     cve = lambda i, conf, status="Analyzed", **k: {"cve": {"id": i, "vulnStatus": status, "published": "2021-01-01T00:00:00", "configurations": conf, **k}}
     (tmp_path / "cve.json").write_text(json.dumps({"vulnerabilities": [
         cve("C1", [{"nodes": [node("A")]}], metrics={"cvssMetricV31": metric}, weaknesses=[{"description": [{"value": "CWE-79"}, {"value": "NVD-CWE-Other"}]}]),
+        cve("C5", [{"nodes": [node("A"), node("B")]}]), cve("C6", [{"nodes": [{"cpeMatch": [{"vulnerable": False, "matchCriteriaId": "B"}]}]}]),
         cve("C2", [{"operator": "AND", "nodes": [node("A"), node("B", "X")]}]), cve("C3", [{"operator": "AND", "nodes": [node("A"), node("Z")]}]), cve("C4", [{"nodes": [node("A")]}], "Rejected"),
     ]}))
     m = lambda i, uri, status="Active": {"matchString": {"criteria": i, "matchCriteriaId": i, "status": status, "matches": [{"cpeName": uri}] if uri else []}}
     (tmp_path / "match.json").write_text(json.dumps({"matchStrings": [m("A", "ua"), m("B", "ub"), m("Z", "ua", "Inactive"), m("X", None)]}))
     cves, matches = readers.cve_feed(spark, str(tmp_path / "cve.json")), readers.match_feed(spark, str(tmp_path / "match.json"))
-    assert {(r["cve_id"], r["cvss"]["base_score"], r["cvss"]["severity"]) for r in cves.collect()} == {("C1", 9.0, "HIGH"), ("C2", 0.0, "UNKNOWN"), ("C3", 0.0, "UNKNOWN")}
+    assert {(r["cve_id"], r["cvss"]["base_score"], r["cvss"]["severity"]) for r in cves.collect()} == {("C1", 9.0, "HIGH"), ("C2", 0.0, "UNKNOWN"), ("C3", 0.0, "UNKNOWN"), ("C5", 0.0, "UNKNOWN"), ("C6", 0.0, "UNKNOWN")}
     certs = spark.createDataFrame([("d1", ["ua", "ub"], date(2020, 1, 1), date(2022, 1, 1)), ("d2", ["ua"], date(2021, 6, 1), date(2022, 1, 1)), ("d3", None, None, None)], "dgst string, uris array<string>, valid_from date, valid_to date")
     pairs = vulnerabilities.related_cves(certs, cves, matches)
-    assert {tuple(r) for r in pairs.collect()} == {("d1", "C1"), ("d1", "C2"), ("d2", "C1")}
-    assert {tuple(r) for r in vulnerabilities.within_validity(pairs, certs, cves).collect()} == {("d1", "C1"), ("d1", "C2")}
+    assert {tuple(r) for r in pairs.collect()} == {("d1", "C1"), ("d1", "C2"), ("d1", "C5"), ("d1", "C6"), ("d2", "C1")}
+    assert {tuple(r) for r in vulnerabilities.within_validity(pairs, certs, cves).collect()} == {("d1", "C1"), ("d1", "C2"), ("d1", "C5"), ("d1", "C6")}
     assert {r["cwe_id"] for r in vulnerabilities.weaknesses(pairs, cves).collect()} == {"CWE-79"}
 
 
@@ -93,7 +94,10 @@ def test_columns(spark):
     assert tuple(one(spark, C.type_and_number(F.lit("HMAC DRBG 12")))) == ("HMAC DRBG", "12")
     assert [one(spark, C.type_and_number(F.lit(s))) for s in ("", "123", "AES", "!!!", "  456  ")] == [None] * 5
     assert one(spark, C.softmax(F.array(F.lit(1000.0), F.lit(1000.0)))) == [0.5, 0.5]
-    assert [one(spark, C.platform_fits(F.lit(a), F.lit(b))) for a, b in (("x for Linux", "linux"), ("x for Linux", "windows"), ("x", "windows"))] == [True, False, True]
+    fits = lambda *a: one(spark, C.platform_fits(*map(F.lit, a)))
+    assert fits("x", "*", "any") and not fits("x", "windows", "any")
+    assert fits("x for Linux", "*", "y linux") and not fits("x for Linux", "*", "y")
+    assert fits("x for Linux", "linux", "y") and not fits("x for Linux", "windows", "y linux") and fits("x for Linux", "x86", "y linux")
 
 
 def test_scores(spark):

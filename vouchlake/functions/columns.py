@@ -22,22 +22,28 @@ def plain_name(text: Column) -> Column:
 
 
 def versions(name: Column) -> Column:
-    """Dotted numbers of a name; else its bare integers; else '-'."""
+    """Dotted numbers anywhere in a name, each once in order; else its whole integers; else '-'."""
     found = lambda p: F.array_distinct(F.regexp_extract_all(name, F.lit(p), F.lit(1)))
-    dotted, bare = found("(?i)(?<![\\w.])v?(\\d+(?:\\.\\d+)+)"), found("(?<![\\w.])(\\d+)(?![\\w.])")
+    dotted, bare = found(r"(\d{1,5}(?:\.\d{1,5})+)"), found(r"\b(\d+)\b")
     return F.when(F.size(dotted) > 0, dotted).when(F.size(bare) > 0, bare).otherwise(F.array(F.lit("-")))
 
 
 def lowest_level(levels: Column) -> Column:
-    """Lowest assurance level of an array: by number, then without plus; null if none."""
-    valid = F.filter(levels, lambda s: s.rlike("^EAL\\d+\\+?$"))
-    ranked = F.transform(valid, lambda s: F.struct(F.regexp_extract(s, "(\\d+)", 1).cast("int").alias("n"), s.endswith("+").alias("plus"), s.alias("s")))
+    """Lowest assurance level named in an array's strings: by number, then without plus; null if none."""
+    named = F.filter(F.transform(levels, lambda s: F.regexp_extract(s, r"(EAL\d+\+?)", 1)), lambda s: s != "")
+    ranked = F.transform(named, lambda s: F.struct(F.regexp_extract(s, r"(\d+)", 1).cast("int").alias("n"), s.endswith("+").alias("plus"), s.alias("s")))
     return F.array_min(ranked)["s"]
 
 
 def cpe_part(uri: Column, at: int) -> Column:
-    """Part `at` of a CPE 2.3 name; escaped colons do not separate."""
-    return F.regexp_replace(F.element_at(F.split(uri, "(?<!\\\\):"), at + 1), "\\\\(.)", "$1")
+    """Part `at` of a CPE 2.3 name; escaped colons do not separate, escaped backslashes do not escape."""
+    parts = F.regexp_extract_all(uri, F.lit(r"(?:^|:)((?:\\.|[^:\\])*)"), F.lit(1))
+    return F.regexp_replace(F.get(parts, F.lit(at)), r"\\(.)", "$1")
+
+
+def cpe_name(uri: Column, at: int) -> Column:
+    """Vendor (3) or item (4) in plain words."""
+    return F.replace(cpe_part(uri, at), F.lit("_"), F.lit(" "))
 
 
 def cpe_version(uri: Column) -> Column:
@@ -76,9 +82,130 @@ def softmax(scores: Column) -> Column:
     return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
 
 
-def platform_fits(title: Column, hardware: Column) -> Column:
-    """A name that states platforms fits hardware that states none or one of them."""
-    #: Platforms and their patterns.
-    stated = {"linux": r"(?i)linux", "mac_os": r"(?i)mac\s?os\s?x?", "windows": r"(?i)windows", "android": r"(?i)android", "ios": r"(?i)(ios|iphone os)"}
-    of = lambda c: F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in stated.items()]))
-    return (F.size(of(title)) == 0) | (F.size(of(hardware)) == 0) | F.arrays_overlap(of(title), of(hardware))
+#: Platforms and their patterns.
+PLATFORMS = {"linux": r"(?i)linux", "mac_os": r"(?i)mac\s?os\s?x?", "windows": r"(?i)windows", "android": r"(?i)android", "ios": r"(?i)(ios|iphone os)"}
+
+
+def platforms(text: Column) -> Column:
+    """The platforms a text names."""
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in PLATFORMS.items()]))
+
+
+def platform_fits(title: Column, hardware: Column, entry_title: Column) -> Column:
+    """Whether a dictionary entry (its hardware and title) can belong to a product's title.
+
+    Free hardware (`*`) fits a title without platforms, and one with platforms if the
+    entry's title names one of them; bound hardware needs a title with platforms, one of
+    them named by the entry, and none other as the hardware.
+    """
+    wanted = platforms(title)
+    some, named = F.size(wanted) > 0, F.coalesce(entry_title, F.lit(""))
+    bound = platforms(hardware)
+    hit = F.arrays_overlap(wanted, platforms(F.concat(hardware, named)))
+    return F.when(hardware == "*", ~some | F.arrays_overlap(wanted, platforms(named))).otherwise(some & hit & ((F.size(bound) == 0) | F.array_contains(wanted, F.get(bound, F.lit(0)))))
+
+
+def version_fits(entry_version: Column, wanted: Column) -> Column:
+    """Whether a dictionary version belongs to one of a product's versions (an array).
+
+    One starts the other, not in the middle of a number; a wanted version of three or
+    more characters asks for as many; where it starts the entry's, that must be dotted.
+    """
+    begins = lambda x, y: (x == y) | (y.startswith(x) & ~F.substr(y, F.length(x) + 1, F.lit(1)).rlike("[0-9]"))
+    dotted, long = entry_version.rlike(r"\d\.\d"), F.length(entry_version) >= 3
+    short_only = (F.size(wanted) == 1) & (F.length(F.get(wanted, F.lit(0))) >= 3) & ~long
+    fits = F.exists(wanted, lambda v: ((begins(v, entry_version) & dotted) | begins(entry_version, v)) & ((F.length(v) < 3) | long))
+    return F.coalesce((entry_version != "") & ~short_only & fits, F.lit(False))
+
+
+def service_pack(text: Column) -> Column:
+    """Least number of a `sp` or `service pack` mention; null if none."""
+    return _least(text, r"(?i)(?:sp|service pack)\s?(\d{1,2})")
+
+
+def release(text: Column) -> Column:
+    """Least number of an `r` or `release` mention; null if none."""
+    return _least(text, r"(?i)(?:r|release)\s?(\d{1,2})")
+
+
+def _least(text: Column, pattern: str) -> Column:
+    return F.array_min(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: n.cast("int")))
+
+
+def vendor_candidates(maker: Column) -> Column:
+    """Names under which a dictionary may list a maker, from its lower-case name.
+
+    Parts between commas and slashes each give themselves, their first word, their
+    first two words joined and known aliases; a leading `the` is passed over.
+    """
+    #: Words of a maker's name and what the dictionary calls it.
+    aliases = {"hewlett": ["hp"], "hewlett-packard": ["hp"], "thales": ["thalesesecurity", "thalesgroup"], "stmicroelectronics": ["st"]}
+
+    def of(part: Column) -> Column:
+        words = F.split(part, r"\s+")
+        first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+        known = [F.when(F.array_contains(words, w), F.array(*map(F.lit, names))) for w, names in aliases.items()]
+        known.append(F.when(F.array_contains(words, "athena") & F.array_contains(words, "smartcard"), F.array(F.lit("athena-scs"))))
+        return F.flatten(F.array_compact(F.array(F.array_compact(F.array(part, first, F.concat(first, second))), *known)))
+
+    parts = F.transform(F.split(maker, "[,/]"), lambda p: F.regexp_replace(F.trim(p), r"^the\s+", ""))
+    return F.array_distinct(F.flatten(F.transform(F.filter(parts, lambda p: p != ""), of)))
+
+
+def html_plain(text: Column) -> Column:
+    """Soft hyphens away, hard and repeated spaces to one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "\u00ad", ""), "[\\s\u00a0]+", " "))
+
+
+def match_plain(text: Column) -> Column:
+    """A keyword match without trailing separators, double spaces and unprintable characters."""
+    body = F.regexp_replace(F.trim(F.regexp_replace(text, r"[\]\[,;\"\"')(.]+$", "")), "  ", " ")
+    return F.regexp_replace(body, r"[\p{C}\p{Zl}\p{Zp}]", "")
+
+
+def fips_vendor(text: Column) -> Column:
+    """The first four words, without marks and commas, dashes and plus signs as spaces."""
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(text, r"\(R\)|,|®", ""), r"[-+\s]+", " ")), " ")
+    return F.array_join(F.slice(words, 1, 4), " ")
+
+
+def only_words(text: Column, keywords: list[str]) -> Column:
+    """The words of a text that are keywords, whatever their case, in order."""
+    return F.array_join(F.filter(F.split(F.trim(text), r"\s+"), lambda w: F.lower(w).isin(*keywords)), " ")
+
+
+def archived_on(valid_from: Column, valid_to: Column, days: int = 1827, first: str = "2019-06-01") -> Column:
+    """Day of archival: the end of validity, capped at `days` from its start, not before `first`."""
+    return F.when(F.datediff(valid_to, valid_from) > days, F.greatest(F.lit(first).cast("date"), F.date_add(valid_from, days))).otherwise(valid_to)
+
+
+def validity_years(valid_from: Column, valid_to: Column) -> Column:
+    return F.datediff(valid_to, valid_from) / 365
+
+
+def status_line(text: Column) -> Column:
+    """(status, since) of a queue line such as `In Review  (5/3/2021)`."""
+    p = r"^\s*(.*?)\s*\((\d{1,2}/\d{1,2}/\d{4})\)\s*$"
+    return F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 1).alias("status"), F.try_to_date(F.regexp_extract(text, p, 2), "M/d/yyyy").alias("since"))).otherwise(
+        F.struct(F.trim(text).alias("status"), F.lit(None).cast("date").alias("since"))
+    )
+
+
+def parsed_date(text: Column, *formats: str) -> Column:
+    """The date by the first format that fits; null where none does."""
+    return F.coalesce(*[F.try_to_date(text, f) for f in formats or ("yyyy-MM-dd", "MM/dd/yyyy")])
+
+
+#: Phrases of composite evaluations.
+COMPOSITE = ("composite evaluation", "composite product", "composite certification", "composite tpo", "etr for composition", "composition evaluation")
+
+
+def is_composite(text: Column) -> Column:
+    return F.coalesce(text.rlike("(?i)" + "|".join(COMPOSITE)), F.lit(False))
+
+
+def assurance(text: Column) -> Column:
+    """(family, level) of an assurance requirement such as `ALC_FLR.2`; null if there is no level."""
+    #: Assurance classes.
+    p = r"^((?:APE|ACE|ASE|ADV|AGD|ALC|ATE|AVA|ACO)(?:_[A-Z]{3,4}){1,2})\.([0-9])"
+    return F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 1).alias("family"), F.regexp_extract(text, p, 2).cast("int").alias("level")))

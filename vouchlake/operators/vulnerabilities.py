@@ -43,9 +43,12 @@ def related_cves(certs: DataFrame, cves: DataFrame, matches: DataFrame) -> DataF
 
 
 def within_validity(pairs: DataFrame, certs: DataFrame, cves: DataFrame) -> DataFrame:
-    """The pairs whose vulnerability was published strictly inside the certificate's validity."""
+    """The pairs whose vulnerability was published on a day strictly inside the
+    certificate's validity. A certificate without both ends is an error."""
     dated = pairs.join(certs.select("dgst", "valid_from", "valid_to"), "dgst").join(cves.select("cve_id", "published"), "cve_id")
-    return dated.where("published > valid_from and published < valid_to").select("dgst", "cve_id")
+    day, start, end = (F.col(c).cast("date") for c in ("published", "valid_from", "valid_to"))
+    missing = F.raise_error(F.concat(F.lit("no validity: "), "dgst")).cast("boolean")
+    return dated.where(F.when(start.isNull() | end.isNull(), missing).otherwise((start < day) & (day < end))).select("dgst", "cve_id")
 
 
 def weaknesses(pairs: DataFrame, cves: DataFrame) -> DataFrame:

@@ -188,14 +188,18 @@ def cvss(metrics: Column) -> Column:
 def cve_feed(spark: SparkSession, path: str) -> DataFrame:
     """(cve_id, published, cvss, cwe_ids, criteria, configurations, modified) of settled vulnerabilities.
 
-    `criteria` are the ids of plain OR configurations, `configurations` the AND
-    ones: arrays of components, each an array of criteria ids.
+    `criteria` are the ids of plain configurations: one node, without operator, with OR, or
+    with a single match. The others give `configurations`: arrays of components, each an
+    array of criteria ids. Nodes that ask for all of their matches are left out, and
+    configurations of such nodes alone.
     """
     v = _pages(spark, path, _CVE_ROW).select(F.explode("vulnerabilities.cve").alias("v")).where(F.col("v.vulnStatus").isin(TAKEN_STATES))
-    confs = F.coalesce("v.configurations", F.array())
-    simple = lambda c: (F.size(c["nodes"]) == 1) & (F.coalesce(c["operator"], F.lit("OR")) != "AND")
-    listed = F.flatten(F.flatten(F.transform(F.filter(confs, simple), lambda c: F.transform(c["nodes"], lambda n: F.transform(F.filter(n["cpeMatch"], lambda m: m["vulnerable"]), lambda m: m["matchCriteriaId"])))))
-    parts = F.transform(F.filter(confs, lambda c: c["operator"] == "AND"), lambda c: F.transform(c["nodes"], lambda n: n["cpeMatch"]["matchCriteriaId"]))
+    confs = F.filter(F.coalesce("v.configurations", F.array()), lambda c: F.size(c["nodes"]) > 0)
+    head = lambda c: F.get(c["nodes"], F.lit(0))["cpeMatch"]
+    simple = lambda c: (F.size(c["nodes"]) == 1) & head(c).isNotNull() & ((F.coalesce(c["operator"], F.lit("OR")) == "OR") | (F.size(head(c)) == 1))
+    listed = F.flatten(F.transform(F.filter(confs, simple), lambda c: head(c)["matchCriteriaId"]))
+    any_of = lambda c: F.filter(c["nodes"], lambda n: F.coalesce(n["operator"], F.lit("OR")) == "OR")
+    parts = F.transform(F.filter(confs, lambda c: ~simple(c) & (F.size(any_of(c)) > 0)), lambda c: F.transform(any_of(c), lambda n: n["cpeMatch"]["matchCriteriaId"]))
     weak = F.array_distinct(F.flatten(F.transform(F.coalesce("v.weaknesses", F.array()), lambda w: w["description"]["value"])))
     return v.select(F.col("v.id").alias("cve_id"), "v.published", cvss(F.col("v.metrics")).alias("cvss"), weak.alias("cwe_ids"), F.array_distinct(listed).alias("criteria"), parts.alias("configurations"), F.col("v.lastModified").alias("modified"))
 
