@@ -1,5 +1,8 @@
 """Record linkage against plain Python versions."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from vouchlake.operators import matching as m
@@ -8,8 +11,38 @@ from vouchlake.operators import matching as m
 def test_scores(spark):
     rows = [("Acme Card v1", "card ACME v1"), ("a b c", "a b"), ("", ""), ("x", "y"), (None, "a")]
     got = spark.createDataFrame(rows, "a string, b string").select(m.token_sort_ratio(F.col("a"), F.col("b")), m.token_set_ratio(F.col("a"), F.col("b"))).collect()
-    assert [tuple(r) for r in got[:2]] == [(100.0, 100.0), (60.0, 100.0)]
-    assert tuple(got[3]) == (0.0, 0.0)
+    assert [tuple(r) for r in got[:2]] == [(100.0, 100.0), (75.0, 100.0)]
+    assert tuple(got[3]) == (0.0, 0.0) and tuple(got[4]) == (None, None)
+
+
+def test_ratio_against_the_plain_table(spark):
+    rnd = random.Random(1)
+    rows = [tuple("".join(rnd.choice("abcé ") for _ in range(rnd.randrange(12))) for _ in range(2)) for _ in range(300)] + [("abcd", "bcde"), ("a a b", "a b")]
+
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return 200 * t[-1][-1] / (len(a) + len(b)) if a and b else 0.0
+
+    got = spark.createDataFrame(rows, "a string, b string").select(m.ratio(F.col("a"), F.col("b")), m.token_sort_ratio(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == pytest.approx([plain(a, b) for a, b in rows])
+    assert [r[1] for r in got] == pytest.approx([plain(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) for a, b in rows])
+    assert got[-2][0] == 75.0 and got[-1][1] == 75.0
+
+
+def test_greedy_assignment_against_the_plain_loop(spark):
+    rnd = random.Random(3)
+    pairs = list({(g, l, r): (g, l, r, float(rnd.randrange(40, 60))) for g in "xyz" for l in range(25) for r in range(25) if rnd.random() < 0.3}.values())
+    want, used = [], set()
+    for g, l, r, s in sorted(pairs, key=lambda p: (-p[3], p[1], p[2])):
+        if s >= 45 and (g, "l", l) not in used and (g, "r", r) not in used:
+            used |= {(g, "l", l), (g, "r", r)}
+            want.append((g, l, r, s))
+    got = m.greedy_assignment(spark.createDataFrame(pairs, "grp string, l long, r long, score double"), "grp", 45.0).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert m.greedy_assignment(spark.createDataFrame([], "grp string, l long, r long, score double"), "grp", 1.0).count() == 0
 
 
 def test_greedy_assignment(spark):

@@ -197,7 +197,14 @@ def parsed_date(text: Column, *formats: str) -> Column:
 
 
 #: Phrases of composite evaluations.
-COMPOSITE = ("composite evaluation", "composite product", "composite certification", "composite tpo", "etr for composition", "composition evaluation")
+COMPOSITE = (
+    "composite product evaluation",
+    "L’évaluation en composition",
+    "Composite product evaluation for Smart Cards and similar devices",
+    r"\[COMP\]",
+    "is the composite product",
+    "valuation en composition",
+)
 
 
 def is_composite(text: Column) -> Column:

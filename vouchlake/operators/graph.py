@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vouchlake.staging import cut
+
 
-def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) reachable over ``edges``; a node on a cycle reaches itself.
 
-    Each round joins only the pairs found last with the edges. Lineage is cut by
-    checkpoint() where a checkpoint folder is set.
+    Each round joins only the pairs found last with the edges, until none is new.
     """
-    spark = edges.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else (lambda d: d.cache())
     base = edges.select("src", "dst").distinct()
-    known = fresh = cut(base)
-    for _ in range(rounds):
-        step = fresh.select("src", F.col("dst").alias("mid")).join(base.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        fresh = cut(step.join(known, ["src", "dst"], "left_anti"))
-        if fresh.limit(1).count() == 0:
-            break
-        known = cut(known.union(fresh))
-    return known
+    found = [cut(base)]
+    while not found[-1].isEmpty():
+        step = found[-1].select("src", F.col("dst").alias("mid")).join(base.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
+        for earlier in found:
+            step = step.join(earlier, ["src", "dst"], "left_anti")
+        found.append(cut(step))
+    return reduce(DataFrame.union, found)
+
+
+def inherited(edges: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(node, flag) of every node that some node with the flag reaches; (node, flag)
+    pairs spread along the edges from the flagged nodes only."""
+    base = edges.select("src", "dst").distinct()
+    fresh, known = flagged.select(F.col("node").alias("src"), "flag").distinct(), None
+    while True:
+        step = base.join(fresh, "src").select(F.col("dst").alias("node"), "flag").distinct()
+        fresh = cut(step if known is None else step.join(known, ["node", "flag"], "left_anti"))
+        if fresh.isEmpty():
+            return fresh if known is None else known
+        known = fresh if known is None else known.union(fresh)
+        fresh = fresh.withColumnRenamed("node", "src")
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,13 +59,8 @@ def reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transitive_attribute_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A node inherits the flags of the nodes that reach it."""
-    flagged = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal < 0").select(F.col("c_custkey").alias("src"))
-    return closure(_edges(spark, sf_dir)).join(flagged, "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_inherited"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else df.cache()
+    flagged = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal < 0").select(F.col("c_custkey").alias("node"), F.col("c_custkey").alias("flag"))
+    return inherited(_edges(spark, sf_dir), flagged).groupBy("node").agg(F.count("*").alias("n_inherited"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -60,13 +69,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Labels fall along edges and then jump to their label's own label, so that long
     chains take few rounds. Nodes are those that have an edge.
     """
-    both = _cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = _cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component")))
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("node")).alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         stepped = labels.join(near, "node").select("node", F.least("component", "near").alias("new"), F.col("component").alias("old"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("root"))
-        moved = _cut(stepped.join(jump, "new").select("node", F.least("new", "root").alias("component"), "old"))
+        moved = cut(stepped.join(jump, "new").select("node", F.least("new", "root").alias("component"), "old"))
         labels = moved.select("node", "component")
         if moved.where("component <> old").limit(1).count() == 0:
             return labels
@@ -75,13 +84,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def hops_to(edges: DataFrame, target: int) -> DataFrame:
     """(node, hops) of every node that reaches `target`; breadth first, a join a hop."""
     base = edges.select("src", "dst").distinct()
-    fresh = known = edges.sparkSession.range(1).select(F.lit(target).cast("long").alias("node"), F.lit(0).alias("hops"))
+    layers = [edges.sparkSession.range(1).select(F.lit(target).cast("long").alias("node"), F.lit(0).alias("hops"))]
     while True:
-        step = base.join(fresh.withColumnRenamed("node", "dst"), "dst").select(F.col("src").cast("long").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
-        fresh = _cut(step.join(known.select("node"), "node", "left_anti"))
-        if fresh.limit(1).count() == 0:
-            return known
-        known = _cut(known.union(fresh))
+        step = base.join(layers[-1].withColumnRenamed("node", "dst"), "dst").select(F.col("src").cast("long").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
+        for earlier in layers:
+            step = step.join(earlier.select("node"), "node", "left_anti")
+        layers.append(cut(step))
+        if layers[-1].isEmpty():
+            return reduce(DataFrame.union, layers)
 
 
 def top_parents(parents: DataFrame) -> DataFrame:
@@ -91,17 +101,17 @@ def top_parents(parents: DataFrame) -> DataFrame:
     rounds. A node with several parents has a row for each top; nodes on a cycle
     have none, having no top.
     """
-    up = _cut(parents.where("parent is not null and node <> parent").select("node", "parent").distinct())
+    up = cut(parents.where("parent is not null and node <> parent").select("node", "parent").distinct())
     top, todo, bound = None, up, up.count()
     for _ in range(max(1, bound).bit_length() + 1):
         link = todo.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
         done = todo.join(link.select("parent").distinct(), "parent", "left_anti").select("node", F.col("parent").alias("top"))
-        moved = _cut(todo.join(link, "parent").select("node", F.col("next").alias("parent")).distinct())
+        moved = cut(todo.join(link, "parent").select("node", F.col("next").alias("parent")).distinct())
         top = done if top is None else top.union(done)
         if moved.limit(1).count() == 0:
             break
         finished = todo.join(link.select("parent").distinct(), "parent", "left_anti")
-        todo = _cut(moved.union(finished.select("node", "parent")).distinct())
+        todo = cut(moved.union(finished.select("node", "parent")).distinct())
     return top.distinct()
 
 
@@ -129,7 +139,8 @@ def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges at a node over the other nodes; each edge is counted at both its ends."""
     e = _edges(spark, sf_dir)
     ends = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    return ends.select("node", "degree", F.round(F.col("degree") / (F.count("*").over(Window.partitionBy()) - 1), 8).alias("centrality"))
+    total = ends.agg(F.count("*").alias("nodes"))
+    return ends.crossJoin(F.broadcast(total)).select("node", "degree", F.round(F.col("degree") / (F.col("nodes") - 1), 8).alias("centrality"))
 
 
 _E = "(SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey > 1)"

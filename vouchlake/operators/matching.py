@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vouchlake.functions import columns
+from vouchlake.staging import cut
 
 
 def tokens(text: Column) -> Column:
@@ -18,22 +19,63 @@ def tokens(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))))
 
 
-def ratio(a: Column, b: Column) -> Column:
+def edit_share(a: Column, b: Column) -> Column:
     """100 minus the edits' share of the longer text."""
     longer = F.greatest(F.length(a), F.length(b))
     return F.when(longer == 0, F.lit(0.0)).otherwise(100.0 * (1 - F.levenshtein(a, b) / longer))
 
 
+def _indel(a: str, b: str) -> float:
+    """Twice the longest common subsequence's share of both texts, in percent."""
+    if not a or not b:
+        return 0.0
+    at: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full = v = (1 << len(a)) - 1
+    for ch in b:
+        u = v & at.get(ch, 0)
+        v = (v + u | v - u) & full
+    return 200.0 * (len(a) - v.bit_count()) / (len(a) + len(b))
+
+
+def _sorted_words(a: str, b: str) -> float:
+    return _indel(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def _word_sets(a: str, b: str) -> float:
+    x, y = set(a.split()), set(b.split())
+    both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    if both and not (left and right):
+        return 100.0
+    sides = [f"{both} {s}".strip() for s in (left, right)]
+    return max(_indel(*sides), *(_indel(both, s) for s in sides)) if both else _indel(left, right)
+
+
+def _pairwise(score):
+    """A column function of two texts from a Python one, in Arrow batches; null for a null."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """Likeness of two texts by insertions and deletions alone, 0 to 100."""
+    return _pairwise(_indel)(a, b)
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
-    return ratio(F.array_join(tokens(a), " "), F.array_join(tokens(b), " "))
+    """The ratio of the sorted words, repeats kept, in lower case."""
+    return _pairwise(_sorted_words)(F.lower(a), F.lower(b))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
-    """Best of: common words against either side, and side against side."""
-    both = F.array_join(F.array_intersect(tokens(a), tokens(b)), " ")
-    side = lambda x, y: F.trim(F.concat_ws(" ", both, F.array_join(F.array_except(tokens(x), tokens(y)), " ")))
-    left, right = side(a, b), side(b, a)
-    return F.when(F.length(both) == 0, ratio(left, right)).otherwise(F.greatest(ratio(left, right), ratio(both, left), ratio(both, right)))
+    """Best of: common words against either side, and side against side, in lower
+    case; 100 where one side's words are all common."""
+    return _pairwise(_word_sets)(F.lower(a), F.lower(b))
 
 
 def name_rating(a: Column, b: Column) -> Column:
@@ -49,13 +91,14 @@ def name_rating(a: Column, b: Column) -> Column:
 SCHEME_WEIGHTS, PENALTY = {"product": 6, "vendor": 6, "id": 4, "date": 2, "level": 2}, 2
 
 
-def scheme_score(e: str, c: str) -> Column:
+def scheme_score(e: str, c: str, categories: tuple[str, ...] = ()) -> Column:
     """Score of a national scheme's entry (columns `e`_...) and a certificate (`c`_...), 0 to 100.
 
     Columns: scheme, cert_id, canonical_id (entry), product, vendor, category,
     report_hash, target_hash, level, valid_from. Certainties come first (same id 100,
     same names 99, same report 95, same target 93), then the weighted mean of the
-    ratings whose two sides are known, less the penalty.
+    ratings whose two sides are known, less the penalty. An entry of another category
+    scores 0 if its own is one of `categories` (any, where none are given).
     """
     at = lambda side, name: F.col(f"{side}_{name}")
     same = lambda name: F.coalesce(at(e, name) == at(c, name), F.lit(False))
@@ -71,7 +114,7 @@ def scheme_score(e: str, c: str) -> Column:
     total = sum((F.when(r.isNotNull(), F.lit(w)).otherwise(0) for r, w in ((rated[k], w) for k, w in SCHEME_WEIGHTS.items())), F.lit(0))
     mean = sum((F.coalesce(rated[k] * w, F.lit(0.0)) for k, w in SCHEME_WEIGHTS.items()), F.lit(0.0)) / total
     named = at(e, "product").isNotNull() & at(e, "vendor").isNotNull() & at(c, "product").isNotNull() & at(c, "vendor").isNotNull()
-    other_kind = at(e, "category").isNotNull() & ~same("category")
+    other_kind = at(e, "category").isNotNull() & ~same("category") & (at(e, "category").isin(*categories) if categories else F.lit(True))
     return (
         F.when(~same("scheme"), 0.0)
         .when(F.coalesce(at(e, "canonical_id") == at(c, "cert_id"), F.lit(False)), 100.0)
@@ -106,20 +149,19 @@ def greedy_assignment(pairs: DataFrame, group: str, threshold: float) -> DataFra
     """One-to-one pairs of each group: best score first, ties by (l, r).
 
     `pairs` has group, l, r, score; only scores at or over the threshold take part.
-    A group is one scheme's register, bounded by its country.
+    Each round takes the pairs that are the best left for both their sides, which is
+    what taking the best pair again and again comes to, and drops what they use up.
     """
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_l, used_r, rows = set(), set(), []
-        for row in pdf.sort_values(["score", "l", "r"], ascending=[False, True, True]).itertuples(index=False):
-            if row.l not in used_l and row.r not in used_r:
-                used_l.add(row.l)
-                used_r.add(row.r)
-                rows.append(row)
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    kept = pairs.where(F.col("score") >= threshold).select(group, "l", "r", "score")
-    return kept.groupBy(group).applyInPandas(assign, kept.schema)
+    left = cut(pairs.where(F.col("score") >= threshold).select(group, "l", "r", "score"))
+    taken = left.limit(0)
+    order = F.struct((-F.col("score")).alias("s"), "l", "r")
+    while not left.isEmpty():
+        by_l = left.groupBy(group, "l").agg(F.min(order).alias("best")).select(group, "best.l", "best.r")
+        by_r = left.groupBy(group, "r").agg(F.min(order).alias("best")).select(group, "best.l", "best.r")
+        won = cut(left.join(by_l, [group, "l", "r"], "left_semi").join(by_r, [group, "l", "r"], "left_semi"))
+        taken = taken.union(won)
+        left = cut(left.join(won.select(group, "l"), [group, "l"], "left_anti").join(won.select(group, "r"), [group, "r"], "left_anti"))
+    return taken
 
 
 def cascade_match(products: DataFrame, dictionary: DataFrame, most: int = 99, threshold: float = 92.0) -> DataFrame:
@@ -127,14 +169,24 @@ def cascade_match(products: DataFrame, dictionary: DataFrame, most: int = 99, th
     or over the threshold; where none, of any version marked '-' with exact score.
 
     products: id, vendor, name, version; dictionary: key, vendor, title, version.
+    Candidates share vendor and version, or vendor and the longest word of the one
+    whose words all lie in the other, so that no vendor meets its whole catalogue.
     """
     d = dictionary.select("key", F.col("vendor").alias("d_vendor"), "title", F.col("version").alias("d_version"))
-    near = products.join(d, F.col("vendor") == F.col("d_vendor")).withColumn("score", token_set_ratio(F.col("name"), F.col("title")))
-    step = F.when((F.col("version") == F.col("d_version")) & (F.col("score") >= threshold), 1).when((F.col("d_version") == "-") & (F.col("score") >= 100), 2)
-    found = near.withColumn("step", step).where("step is not null")
-    first = found.withColumn("best", F.min("step").over(Window.partitionBy("id"))).where("step = best")
+    same = products.join(d, (F.col("vendor") == F.col("d_vendor")) & (F.col("version") == F.col("d_version")))
+    first = same.withColumn("score", token_set_ratio(F.col("name"), F.col("title"))).where(F.col("score") >= threshold).withColumn("step", F.lit(1)).select("id", "key", "score", "step")
+    first = cut(first)
+    words = lambda c: F.array_distinct(F.split(F.trim(F.lower(c)), "\\s+"))
+    longest = lambda c: F.array_max(F.transform(words(c), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    rest = products.join(first.select("id").distinct(), "id", "left_anti").select("id", "vendor", "name")
+    free = d.where("d_version = '-'").select("key", F.col("d_vendor").alias("vendor"), "title")
+    inner = rest.select("id", "vendor", "name", F.explode(words(F.col("name"))).alias("w")).join(free.withColumn("w", longest(F.col("title"))), ["vendor", "w"])
+    outer = rest.withColumn("w", longest(F.col("name"))).join(free.select("key", "vendor", "title", F.explode(words(F.col("title"))).alias("w")), ["vendor", "w"])
+    met = inner.select("id", "key", "name", "title").union(outer.select("id", "key", "name", "title")).distinct()
+    whole = (F.size(F.array_except(words(F.col("name")), words(F.col("title")))) == 0) | (F.size(F.array_except(words(F.col("title")), words(F.col("name")))) == 0)
+    second = met.where(whole).select("id", "key", F.lit(100.0).alias("score"), F.lit(2).alias("step"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), F.desc("key")))
-    return first.withColumn("rank", rank).where(F.col("rank") <= most).select("id", "key", F.round("score", 4).alias("score"), "step")
+    return first.union(second).withColumn("rank", rank).where(F.col("rank") <= most).select("id", "key", F.round("score", 4).alias("score"), "step")
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +197,7 @@ def fuzzy_pairs_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit ratio between the names of neighbouring parts."""
     p = _parts(spark, sf_dir).select("p_partkey", "p_name")
     nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
-    return p.join(nxt, "p_partkey").select("p_partkey", F.round(ratio(F.col("p_name"), F.col("other")), 6).alias("score"))
+    return p.join(nxt, "p_partkey").select("p_partkey", F.round(edit_share(F.col("p_name"), F.col("other")), 6).alias("score"))
 
 
 def greedy_assignment_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +209,14 @@ def greedy_assignment_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return greedy_assignment(pairs, "group", 0.0)
 
 
+def name_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three ratios between the names of neighbouring parts."""
+    p = _parts(spark, sf_dir).select("p_partkey", "p_name")
+    both = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey")
+    a, b = F.col("p_name"), F.col("other")
+    return both.select("p_partkey", F.round(ratio(a, b), 6).alias("ratio"), F.round(token_sort_ratio(a, b), 6).alias("sort_ratio"), F.round(token_set_ratio(a, b), 6).alias("set_ratio"))
+
+
 def cpe_cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts against a dictionary made of the parts' own brands, names and sizes."""
     p = _parts(spark, sf_dir)
@@ -166,7 +226,7 @@ def cpe_cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade_match(products, dictionary)
 
 
-QUERIES = {f.__name__: f for f in (fuzzy_pairs_score, greedy_assignment_brands, cpe_cascade_match)}
+QUERIES = {f.__name__: f for f in (fuzzy_pairs_score, name_ratios, greedy_assignment_brands, cpe_cascade_match)}
 ORACLE_SQL = {
     "fuzzy_pairs_score": """
         SELECT a.p_partkey, round(100.0e0 * (1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))), 6) AS score

@@ -35,13 +35,22 @@ PLANS: dict[str, str | tuple[str, str]] = {
         """SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey
         WHERE l_shipdate > o_orderdate AND l_shipdate < o_orderdate + INTERVAL 60 DAY""",
     ),
-    "earliest_after": """
+    "earliest_after": (
+        """SELECT event_id, first_after FROM (SELECT event_id, event_type,
+             min(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '0.000001' SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS first_after
+             FROM events) t WHERE event_type = 'error' AND first_after IS NOT NULL""",
+        """
         SELECT e.event_id, min(p.ts) AS first_after
         FROM (SELECT * FROM events WHERE event_type = 'error') e JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
           ON e.user_id = p.user_id AND p.ts > e.ts GROUP BY 1""",
-    "first_last_seen": """
+    ),
+    "first_last_seen": (
+        """WITH t AS (SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1, 2)
+        SELECT user_id, event_type, first_seen, last_seen, last_seen = newest AS present FROM t CROSS JOIN (SELECT max(ts) AS newest FROM events) m""",
+        """
         SELECT user_id, event_type, first_seen, last_seen, last_seen = max(last_seen) OVER () AS present
         FROM (SELECT user_id, event_type, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY 1, 2) t""",
+    ),
     # runs of one status per entity; a run's date is its last one
     "state_flows": """
         SELECT user_id, run, min(event_type) AS status, max(ts) AS run_end, count(*) AS n FROM (
@@ -54,10 +63,16 @@ PLANS: dict[str, str | tuple[str, str]] = {
         SELECT d, cast(sum(sum(delta)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS bigint) AS n_active FROM (
           SELECT cast(o_orderdate AS date) AS d, 1 AS delta FROM orders
           UNION ALL SELECT cast(max(l_shipdate) AS date) AS d, -1 AS delta FROM lineitem GROUP BY l_orderkey) t GROUP BY d""",
-    "dedup_keep_first": """
+    "dedup_keep_first": (
+        """SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha2(text, 256)""",
+        """
         SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) t WHERE rn = 1""",
-    "dedup_duplicates": """
+    ),
+    "dedup_duplicates": (
+        """SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY sha2(text, 256) HAVING count(*) > 1""",
+        """
         SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1""",
+    ),
     "exact_join_chain": """
         SELECT p_brand, count(DISTINCT s_suppkey) AS n_suppliers FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""",
     "semi_join_prune": """
@@ -99,7 +114,9 @@ PLANS: dict[str, str | tuple[str, str]] = {
         r"SELECT page_id, regexp_extract(url, '([^/?#]+)/?(?:[?#].*)?$', 1) AS base FROM pages",
     ),
     "keyword_counts_long": (
-        r"SELECT lang, kw, cast(sum(size(regexp_extract_all(text, kw, 0))) AS bigint) AS n FROM documents CROSS JOIN (SELECT explode(array('License', 'the', 'que', 'der')) AS kw) k GROUP BY 1, 2",
+        r"""SELECT lang, k.kw, k.n FROM (SELECT lang, explode(array(struct('License' AS kw, a AS n), struct('the' AS kw, b AS n), struct('que' AS kw, c AS n), struct('der' AS kw, d AS n))) AS k
+            FROM (SELECT lang, sum(size(regexp_extract_all(text, 'License', 0))) AS a, sum(size(regexp_extract_all(text, 'the', 0))) AS b, sum(size(regexp_extract_all(text, 'que', 0))) AS c,
+                         sum(size(regexp_extract_all(text, 'der', 0))) AS d FROM documents GROUP BY 1) x) y""",
         r"SELECT lang, kw, cast(sum(len(regexp_extract_all(text, kw))) AS bigint) AS n FROM documents CROSS JOIN (SELECT unnest(['License', 'the', 'que', 'der']) AS kw) k GROUP BY 1, 2",
     ),
     "keyword_share_by_lang": """
