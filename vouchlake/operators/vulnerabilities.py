@@ -66,10 +66,12 @@ def keyword_counts(docs: DataFrame, rules: list[tuple[str, str]], key: str = "do
     #: What may stand around a match.
     sep = "[ ,;\\[\\]”\"')(.]"
     body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\\r?\\n", " ")
-    hits = [
-        F.transform(F.regexp_extract_all(body, F.lit(f"(?:^|{sep})({p})(?:$|{sep})"), F.lit(1)), lambda m, path=path: F.struct(F.lit(path).alias("path"), F.trim(m).alias("match")))
-        for path, p in rules
-    ]
+
+    def found(path: str, pattern: str):
+        every = F.regexp_extract_all(body, F.lit(f"(?:^|{sep})({pattern})(?:$|{sep})"), F.lit(1))
+        return F.transform(every, lambda m: F.struct(F.lit(path).alias("path"), F.trim(m).alias("match")))
+
+    hits = [found(path, p) for path, p in rules]
     rows = docs.select(F.col(key).alias("key"), F.explode(F.concat(*hits)).alias("h"))
     return rows.groupBy("key", "h.path", "h.match").agg(F.count("*").alias("n"))
 
