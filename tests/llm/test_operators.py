@@ -309,6 +309,48 @@ def test_every_licence_identifier_is_in_a_rule():
     assert {*table, *names} == {i for rule, _ in license_scan.RULES for i in rule}
 
 
+def test_every_licence_text_is_looked_at():
+    import re
+
+    spoken = [s.replace("|", " ") for s in license_scan.SENTENCES] + [f"released under the {n}" for ns in license_scan.NAMES.values() for n in ns]
+    assert [s for s in spoken if not re.search(license_scan.TRIGGER, s)] == []
+
+
+def test_recall_of_near_copies_by_kind_of_edit(spark):
+    rnd, rows, kinds = np.random.default_rng(8), [], []
+    new = lambda: f"n{rnd.integers(10**9)}"
+    edits = {
+        "last line 50 times": lambda ls: [*ls, *[ls[-1]] * 49],
+        "first line 10 times": lambda ls: [*[ls[0]] * 10, *ls],
+        "a word replaced": lambda ls: [*ls[:3], new() + ls[3][ls[3].index(" "):], *ls[4:]],
+        "a line at the end": lambda ls: [*ls, " ".join(new() for _ in range(8))],
+        "first line gone": lambda ls: ls[1:],
+        "capitals and marks": lambda ls: [x.upper() + " !" for x in ls],
+    }
+    for kind, edit in edits.items():
+        for _ in range(60):
+            lines = [" ".join(new() for _ in range(8)) for _ in range(12)]
+            rows += [(len(rows), "\n".join(lines)), (len(rows) + 1, "\n".join(edit(lines)))]
+            kinds.append(kind)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alike, caught, wrong = defaultdict(int), defaultdict(int), []
+    for g, kind in enumerate(kinds):
+        a, b = (set(near_dedup.Shingler()(rows[2 * g + i][1])[0].tolist()) for i in (0, 1))
+        if len(a & b) >= 0.8 * len(a | b):
+            alike[kind] += 1
+            caught[kind] += got[2 * g] == got[2 * g + 1]
+        elif got[2 * g] == got[2 * g + 1]:
+            wrong.append(g)
+    assert set(alike) == set(edits) and all(caught[k] >= 0.95 * n for k, n in alike.items()) and not wrong
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (1, "other words of the same id"), (2, text), (3, text + " more"), (4, None), (4, None)]
+    got = {(r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {c for d, c in got if d in (2, 3)} == {min(c for d, c in got if d in (2, 3))} and {(d, c) for d, c in got if d == 4} == {(4, 4)} and len(got) == 4
+
+
 def test_near_copies_with_other_repeat_counts(spark):
     rnd, rows = np.random.default_rng(5), []
     for g in range(30):
