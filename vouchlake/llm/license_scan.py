@@ -141,7 +141,7 @@ _GNU_IDS = sorted({i for i in [*NAMES, *SENTENCES.values()] if re.match(r"(l|a)?
 RULES += [((i,), i.removesuffix("-notice").replace("gpl", "GPL").replace("lGPL", "LGPL").replace("aGPL", "AGPL")) for i in _GNU_IDS]
 #: A licence is left out where one that begins with any of these is found.
 BROADER = {"BSD": ("BSD-",), "BSD-2-Clause": ("BSD-3-Clause",), "GPL": ("GPL-",), "LGPL": ("LGPL-",), "AGPL": ("AGPL-",)}
-TRIGGER = "(?i)(licen[sc]e|permission|free\\s+software|unencumbered|redistribution|waived|dedicated|anyone is free|copy of the mpl)"
+TRIGGER = "(?i)(licen[sc]e|permission|free\\s+software|unencumbered|redistribution|waived|dedicated|anyone is free|copy of the mpl|(?:released|distributed|available|provided|published|covered)\\s+(?:under|by))"
 
 _GAP, _ANY = "(?: S)? ", "(?: [HS]){0,2} "
 _VERB = "(?:(?:made |also |hereby |dual )?(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) (?:the terms (?:and conditions )?of )?(?:the |an? )?(?:version of the )?|spdx license identifier )"
