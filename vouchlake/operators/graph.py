@@ -116,7 +116,9 @@ def top_parents(parents: DataFrame) -> DataFrame:
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).where("src % 7 <> 0")
+    """Twenty-five trees of customers, by the rest of their number."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.where("c_custkey >= 25").select(F.col("c_custkey").alias("src"), F.expr("25 * ((c_custkey div 25) div 2) + c_custkey % 25").alias("dst"))
 
 
 def connected_components_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +147,7 @@ def degree_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _E = "(SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey > 1)"
 _C = f"WITH RECURSIVE r AS (SELECT src, dst FROM {_E} UNION SELECT r.src, e.dst FROM r JOIN {_E} e ON r.dst = e.src)"
-_F = "(SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer WHERE c_custkey > 1 AND c_custkey % 7 <> 0)"
+_F = "(SELECT c_custkey AS src, 25 * ((c_custkey // 25) // 2) + c_custkey % 25 AS dst FROM customer WHERE c_custkey >= 25)"
 _T = f"WITH RECURSIVE t AS (SELECT DISTINCT dst AS node, dst AS component FROM {_F} WHERE dst NOT IN (SELECT src FROM {_F}) UNION ALL SELECT e.src, t.component FROM t JOIN {_F} e ON e.dst = t.node)"
 QUERIES = {
     f.__name__: f

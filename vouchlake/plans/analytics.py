@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from vouchlake.plans import relational
 
-# part numbers that refer to the suppliers of large orders
-_REFS = "(SELECT DISTINCT l_partkey % 200 AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey % 200 <> l_suppkey AND l_quantity > 48)"
+# parts, folded over all suppliers, that refer to the suppliers of their lines
+_REFS = """(SELECT DISTINCT l_partkey % m AS src, l_suppkey AS dst FROM (SELECT l_partkey, l_suppkey, (SELECT count(*) FROM supplier) AS m FROM lineitem) x
+        WHERE l_partkey % m <> l_suppkey)"""
 _TOKENS = ("split(text, ' ')", "string_split(text, ' ')")
 
 PLANS: dict[str, str | tuple[str, str]] = {
