@@ -216,3 +216,50 @@ def assurance(text: Column) -> Column:
     #: Assurance classes.
     p = r"^((?:APE|ACE|ASE|ADV|AGD|ALC|ATE|AVA|ACO)(?:_[A-Z]{3,4}){1,2})\.([0-9])"
     return F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 1).alias("family"), F.regexp_extract(text, p, 2).cast("int").alias("level")))
+
+
+def one_spaced(text: Column) -> Column:
+    """Line ends and runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def without_maker_and_version(name: Column, makers: Column, found: Column) -> Column:
+    """A plain name without its makers and versions (arrays of plain strings), in that order."""
+    gone = F.concat(F.coalesce(makers, F.array()), F.coalesce(found, F.array()))
+    return F.trim(F.aggregate(gone, name, lambda text, part: F.when(part == "", text).otherwise(F.replace(text, part, F.lit("")))))
+
+
+def level_package(text: Column) -> Column:
+    """(level, augmented_by) of a package such as `EAL4 augmented by ALC_FLR.2 and AVA_VAN.5`."""
+    level = F.nullif(F.regexp_extract(text, r"(EAL\s?[1-7]\+?)", 1), F.lit(""))
+    parts = F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Z]{3}_[A-Z]{3}\.[0-9])"), F.lit(1)))
+    return F.when(level.isNotNull(), F.struct(F.replace(level, F.lit(" "), F.lit("")).alias("level"), parts.alias("augmented_by")))
+
+
+def named_host(link: Column, address: str, host: str) -> Column:
+    """A link whose host is the bare address, with the host's name."""
+    return F.when(F.parse_url(link, F.lit("HOST")) == address, F.replace(link, F.lit(f"//{address}"), F.lit(f"//{host}"))).otherwise(link)
+
+
+def expanded(text: Column, acronyms: dict[str, str]) -> Column:
+    """Whole-word acronyms written out; the longer ones first."""
+    for short, full in sorted(acronyms.items(), key=lambda kv: (-len(kv[0]), kv[0])):
+        text = F.regexp_replace(text, rf"\b\Q{short}\E\b", full.replace("\\", r"\\").replace("$", r"\$"))
+    return text
+
+
+def cited(text: Column, ids: Column) -> Column:
+    """Citations `[n]` as the n-th of the ids (an array), where there is one."""
+    numbered = F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda name, i: F.struct(F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]")).alias("mark"), name.alias("name")))
+    return F.aggregate(numbered, text, lambda t, c: F.replace(t, c["mark"], c["name"]))
+
+
+def long_sentences(sentences: Column, keywords: Column, more: int = 20) -> Column:
+    """The sentences at least `more` characters longer than the shortest keyword."""
+    least = F.array_min(F.transform(keywords, lambda k: F.length(k))) + more
+    return F.filter(sentences, lambda s: F.length(s) >= least)
+
+
+def module_type(text: Column) -> Column:
+    """A module's type with only its first letter large."""
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))

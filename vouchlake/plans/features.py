@@ -148,9 +148,54 @@ def soft_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "supplier").select("s_suppkey", *[F.round(p[i], 8).alias(f"p{i}") for i in range(3)], F.array_position(p, F.array_max(p)).alias("winner"))
 
 
+def stripped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.expr("concat('acme ', p_name, ' v', p_size, '.1')")
+    return _read(spark, sf_dir, "part").select("p_partkey", columns.without_maker_and_version(name, F.array(F.lit("acme")), F.array(F.expr("concat('v', p_size, '.1')"))).alias("name"))
+
+
+def spaced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and digests of the documents in one line."""
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(columns.one_spaced(F.regexp_replace("text", "[^a-zA-Z0-9 \\n]", ""))).alias("plain_md5"))
+
+
+def level_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("if(k % 5 = 0, 'none', concat('EAL ', k % 7 + 1, ' augmented by ALC_FLR.', k % 3, ' and AVA_VAN.5, ALC_FLR.', k % 3))")
+    return _orders(spark, sf_dir).select("k", columns.level_package(text).alias("x")).select("k", "x.level", F.array_join("x.augmented_by", " ").alias("augmented_by"))
+
+
+def written_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("concat('The TOE', k % 3, ' and the TOE of [1] and [3]')")
+    ids = F.expr("array(concat('id', k), 'b')")
+    return _orders(spark, sf_dir).select("k", columns.cited(columns.expanded(text, {"TOE": "target of evaluation"}), ids).alias("text"))
+
+
+def host_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link = F.expr("concat('https://', if(k % 2 = 0, '195.0.2.7', 'a.org'), '/files/', k, '.pdf')")
+    return _orders(spark, sf_dir).select("k", columns.named_host(link, "195.0.2.7", "portal.org").alias("link"))
+
+
+def vendor_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Makers' candidate names that a list of vendors holds."""
+    maker = F.expr("concat(element_at(array('the ', '', 'hewlett packard, '), cast(c_custkey % 3 + 1 AS int)), lower(c_mktsegment), ' group / maker', c_custkey % 50)")
+    asked = _read(spark, sf_dir, "customer").select("c_custkey", F.explode(columns.vendor_candidates(maker)).alias("vendor"))
+    known = spark.range(40).select(F.expr("concat('maker', id)").alias("vendor")).union(spark.createDataFrame([("hp",), ("building",), ("householdgroup",)], "vendor string"))
+    return asked.join(known, "vendor", "left_semi").select("c_custkey", "vendor")
+
+
+def label_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of the first two dimensions of each label's vectors."""
+    v = _read(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return v.groupBy("label").agg(
+        F.count("*").alias("n"), r(F.avg("x"), "mean_x"), r(F.var_samp("x"), "var_x"), r(F.stddev_samp("y"), "sd_y"), r(F.max("x") - F.min("x"), "range_x"), r(F.covar_samp("x", "y"), "cov"),
+        r(F.avg(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))), "mean_distance"), r((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")), "box"),
+    )
+
+
 _Q = (
     canonical_ids, id_vote, level_floor, title_versions, platform_filter, version_pairs, published_while_valid, configured_vulnerabilities, requirement_resolution, actual_requirements,
     rule_counts, rule_matrix, rule_sums, reference_edges, archival_dates, status_lines, plain_vendors, plain_contacts, dictionary_parts, soft_votes,
+    stripped_names, spaced_texts, level_packages, written_out, host_names, vendor_matches, label_shapes,
 )
 QUERIES = {f.__name__: f for f in _Q}
 
@@ -201,4 +246,14 @@ ORACLE_SQL = {
     "dictionary_parts": r"SELECT s_suppkey, concat('ven:dor ', s_suppkey) AS vendor, 'item\' AS item, CASE WHEN s_suppkey % 2 = 0 THEN '-' ELSE concat('1.', s_suppkey) END AS version FROM supplier",
     "soft_votes": """WITH x AS (SELECT s_suppkey, exp(s_acctbal / 1e3) AS a, exp(s_suppkey % 7 * 1e0) AS b, exp(1e0) AS c FROM supplier)
         SELECT s_suppkey, round(a / (a + b + c), 8) AS p0, round(b / (a + b + c), 8) AS p1, round(c / (a + b + c), 8) AS p2, cast(CASE WHEN a >= b AND a >= c THEN 1 WHEN b >= c THEN 2 ELSE 3 END AS bigint) AS winner FROM x""",
+    "stripped_names": "SELECT p_partkey, trim(p_name) AS name FROM part",
+    "spaced_texts": "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9 \\n]', '', 'g'), '[ \\n]+', ' ', 'g'))) AS plain_md5 FROM documents",
+    "level_packages": """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN concat('EAL', o_orderkey % 7 + 1) END AS level, CASE WHEN o_orderkey % 5 <> 0 THEN concat('ALC_FLR.', o_orderkey % 3, ' AVA_VAN.5') END AS augmented_by FROM orders""",
+    "written_out": "SELECT o_orderkey AS k, concat('The TOE', o_orderkey % 3, ' and the target of evaluation of id', o_orderkey, ' and [3]') AS text FROM orders",
+    "host_names": "SELECT o_orderkey AS k, concat('https://', CASE WHEN o_orderkey % 2 = 0 THEN 'portal.org' ELSE 'a.org' END, '/files/', o_orderkey, '.pdf') AS link FROM orders",
+    "vendor_matches": """SELECT c_custkey, concat('maker', c_custkey % 50) AS vendor FROM customer WHERE c_custkey % 50 < 40 UNION ALL SELECT c_custkey, 'hp' FROM customer WHERE c_custkey % 3 = 2
+        UNION ALL SELECT c_custkey, 'building' FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, 'householdgroup' FROM customer WHERE c_mktsegment = 'HOUSEHOLD'""",
+    "label_shapes": """WITH v AS (SELECT label, embedding[1]::double AS x, embedding[2]::double AS y FROM embeddings)
+        SELECT label, count(*) AS n, round(avg(x), 6) AS mean_x, round(var_samp(x), 6) AS var_x, round(stddev_samp(y), 6) AS sd_y, round(max(x) - min(x), 6) AS range_x, round(covar_samp(x, y), 6) AS cov,
+        round(avg(sqrt(x * x + y * y)), 6) AS mean_distance, round((max(x) - min(x)) * (max(y) - min(y)), 6) AS box FROM v GROUP BY 1""",
 }

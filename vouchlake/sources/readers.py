@@ -233,3 +233,28 @@ def weakness_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def labels_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Ground truth with a declared schema; bad rows are dropped."""
     return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").option("multiLine", True).csv(path)
+
+
+def tagged_json(spark: SparkSession, path: str, kind: str, schema: str | None = None) -> DataFrame:
+    """The rows of a JSON sink that carry `_type` = `kind`, compressed or not, without the tag."""
+    reader = spark.read.schema(f"{schema}, _type string") if schema else spark.read
+    return reader.json(path).where(F.col("_type") == kind).drop("_type")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of the files of a folder."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def listed_numbers(pages: DataFrame, html: str, table: str = "searchResultsTable") -> DataFrame:
+    """(cert_id) named by links of the result tables of listing pages, each once."""
+    body = F.regexp_extract(F.col(html), rf'(?is)<table[^>]*id="{table}".*?</table>', 0)
+    return pages.select(F.explode(F.regexp_extract_all(body, F.lit(r"(?i)certificate/(\d+)"), F.lit(1))).alias("cert_id")).distinct()
+
+
+def weakness_categories(spark: SparkSession, path: str) -> DataFrame:
+    """(category_id, name, members) of the catalogue's XML."""
+    schema = "_ID string, _Name string, Relationships struct<Has_Member: array<struct<_CWE_ID: string, _View_ID: string>>>"
+    x = spark.read.format("xml").option("rowTag", "Category").schema(schema).load(path)
+    members = F.coalesce(F.array_distinct(F.transform("Relationships.Has_Member", lambda m: F.concat(F.lit("CWE-"), m["_CWE_ID"]))), F.array().cast("array<string>"))
+    return x.select(F.concat(F.lit("CWE-"), "_ID").alias("category_id"), F.col("_Name").alias("name"), members.alias("members"))
