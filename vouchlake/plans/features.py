@@ -70,10 +70,10 @@ def published_while_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def configured_vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier is a vulnerability of two components; an order's parts are its products."""
-    certs = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("dgst")).agg(F.collect_set(F.expr("concat('u', l_partkey % 60)")).alias("uris"))
-    conf = "array(concat('c', s_suppkey % 50), concat('c', (s_suppkey + 1) % 50)), array(concat('c', (s_suppkey + 7) % 50))"
+    certs = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("dgst")).agg(F.collect_set(F.expr("concat('u', l_partkey % 200)")).alias("uris"))
+    conf = "array(concat('c', s_suppkey), concat('c', s_suppkey + 1)), array(concat('c', s_suppkey + 7))"
     cves = _read(spark, sf_dir, "supplier").select(F.expr("concat('v', s_suppkey)").alias("cve_id"), F.expr(f"array(array({conf}))").alias("configurations"), F.array().cast("array<string>").alias("criteria"))
-    matches = spark.range(50).select(F.expr("concat('c', id)").alias("criteria_id"), F.expr("array(concat('u', id))").alias("uris"))
+    matches = spark.range(200).select(F.expr("concat('c', id)").alias("criteria_id"), F.expr("array(concat('u', id))").alias("uris"))
     return vulnerabilities.related_cves(certs, cves, matches)
 
 
@@ -226,8 +226,8 @@ ORACLE_SQL = {
     "published_while_valid": """SELECT DISTINCT l_orderkey AS dgst, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS cve_id
         FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(cast(l_shipdate AS date)) AS d FROM lineitem GROUP BY ALL) JOIN orders ON l_orderkey = o_orderkey
         WHERE d > cast(o_orderdate AS date) AND d < cast(o_orderdate AS date) + cast(o_orderkey % 90 AS integer)""",
-    "configured_vulnerabilities": """WITH have AS (SELECT DISTINCT l_orderkey AS dgst, l_partkey % 60 AS u FROM lineitem)
-        SELECT DISTINCT a.dgst, concat('v', s_suppkey) AS cve_id FROM supplier JOIN have a ON a.u IN (s_suppkey % 50, (s_suppkey + 1) % 50) JOIN have b ON b.dgst = a.dgst AND b.u = (s_suppkey + 7) % 50""",
+    "configured_vulnerabilities": """WITH have AS (SELECT DISTINCT l_orderkey AS dgst, l_partkey % 200 AS u FROM lineitem)
+        SELECT DISTINCT a.dgst, concat('v', s_suppkey) AS cve_id FROM supplier JOIN have a ON a.u IN (s_suppkey, s_suppkey + 1) JOIN have b ON b.dgst = a.dgst AND b.u = s_suppkey + 7""",
     "requirement_resolution": f"WITH {_FOUND} SELECT dgst, family, level FROM resolved",
     "actual_requirements": f"""WITH {_FOUND}, implied AS (SELECT o_orderkey AS dgst, family, level FROM orders JOIN (VALUES {_IMPLIED}) i(eal, family, level) ON eal = concat('EAL', substr(o_orderpriority, 1, 1)))
         SELECT dgst, family, level FROM resolved UNION ALL SELECT dgst, family, level FROM implied i WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.dgst = i.dgst AND r.family = i.family)""",
