@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from vouchlake.operators import graph
-from vouchlake.plans import analytics, relational
+from vouchlake.plans import analytics, pages, relational
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,9 +17,9 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", [*relational.PLANS, *analytics.PLANS, *graph.ORACLE_SQL])
+@pytest.mark.parametrize("name", [*relational.PLANS, *analytics.PLANS, *graph.ORACLE_SQL, *pages.ORACLE_SQL])
 def test_plan_matches_sql(spark, db, name):
-    both, sql = relational.QUERIES | analytics.QUERIES | graph.QUERIES, relational.ORACLE_SQL | analytics.ORACLE_SQL | graph.ORACLE_SQL
+    both, sql = relational.QUERIES | analytics.QUERIES | graph.QUERIES | pages.QUERIES, relational.ORACLE_SQL | analytics.ORACLE_SQL | graph.ORACLE_SQL | pages.ORACLE_SQL
     got, want = both[name](spark, SF).toPandas(), db.sql(sql[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)

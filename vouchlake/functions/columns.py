@@ -261,5 +261,66 @@ def long_sentences(sentences: Column, keywords: Column, more: int = 20) -> Colum
 
 
 def module_type(text: Column) -> Column:
-    """A module's type with only its first letter large."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
+    """A module's type; every part between hyphens has only its first letter large."""
+    part = lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))
+    return F.array_join(F.transform(F.split(F.trim(text), "-"), part), "-")
+
+
+#: Spellings of embodiments and the form they take.
+EMBODIMENTS = {
+    "Multi-chip embedded": "Multi-Chip Embedded",
+    "Multi-chip Standalone": "Multi-Chip Stand Alone",
+    "Multi-chip standalone": "Multi-Chip Stand Alone",
+    "Single-chip": "Single Chip",
+}
+
+
+def embodiment(text: Column) -> Column:
+    """A module's embodiment in one spelling; others stay, with single blanks."""
+    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in EMBODIMENTS.items() for x in pair])[plain], plain)
+
+
+#: Words before a number that then names no certificate.
+NO_CERTIFICATES = ("rsa", "shs", "dsa", "pkcs", "aes")
+
+
+def mentioned_certificates(caveat: Column) -> Column:
+    """Map of the certificate numbers a caveat names to how often it does; null stays null."""
+    p = r"(\w+)?\s?(?:#\s?|Cert\.?(?!.\s)\s?|Certificate\s?)+(\d+)"
+    found = F.arrays_zip(F.regexp_extract_all(caveat, F.lit(p), F.lit(1)).alias("word"), F.regexp_extract_all(caveat, F.lit(p), F.lit(2)).alias("id"))
+    ids = F.transform(F.filter(found, lambda m: ~F.lower(m["word"]).isin(*NO_CERTIFICATES)), lambda m: m["id"])
+    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(ids)), lambda i: F.struct(i, F.size(F.filter(ids, lambda x: x == i)))))
+
+
+#: Fixed value: how policies write an algorithm's number.
+ALGORITHM_NUMBER = r"(?:#[CcAa]?\s?|(?:Cert)\.?[^. ]*?\s?)(?:[CcAa]\s)?(\d+)"
+
+
+def algorithm_numbers(text: Column) -> Column:
+    """References to algorithm certificates as written (`#123`, `Cert. A 45`), each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(ALGORITHM_NUMBER), F.lit(0)))
+
+
+def pages_with_tables(text: Column) -> Column:
+    """Numbers of the pages of a policy that may hold tables of algorithms.
+
+    Where the policy has a list of tables, the pages that it gives for tables of functions
+    or algorithms; otherwise the pages of lines that begin with `Table ` or `Exhibit`, each
+    with its neighbours (page 1 not as a neighbour), without the first one at or after the last page.
+    """
+    listed = F.regexp_extract(text, r"(?m)^(?:[Tt]able\s|[Ll]ist\s)[Oo]f\s[Tt]ables[\s\S]+?\f", 0)
+    given = F.regexp_extract_all(listed, F.lit(r"(?m)^.+?(?:[Ff]unction|[Aa]lgorithm|[Ss]ecurity [Ff]unctions?).+?(\d+)$"), F.lit(1))
+    begin = F.struct(F.lit(1).alias("page"), F.array().cast("array<int>").alias("hits"))
+
+    def line(seen: Column, one: Column) -> Column:
+        page = seen["page"] + F.contains(one, F.lit("\f")).cast("int")
+        near = F.when(page > 2, F.array(page - 1, page, page + 1)).otherwise(F.array(page, page + 1))
+        hit = F.startswith(one, F.lit("Table ")) | F.startswith(one, F.lit("Exhibit"))
+        return F.struct(page.alias("page"), F.when(hit, F.concat(seen["hits"], near)).otherwise(seen["hits"]).alias("hits"))
+
+    read = F.aggregate(F.split(text, "\n"), begin, line)
+    pages = F.array_sort(F.array_distinct(read["hits"]))
+    beyond = F.get(F.filter(pages, lambda n: n >= read["page"]), F.lit(0))
+    found = F.filter(pages, lambda n: beyond.isNull() | (n != beyond))
+    return F.when(listed != "", F.array_sort(F.array_distinct(F.transform(given, lambda n: n.cast("int"))))).otherwise(found)
