@@ -58,11 +58,25 @@ PLANS: dict[str, str | tuple[str, str]] = {
     "group_matrix": f"""
         SELECT a.s_nationkey AS from_group, b.s_nationkey AS to_group, count(*) AS n FROM {_REFS} r
         JOIN supplier a ON a.s_suppkey = r.src JOIN supplier b ON b.s_suppkey = r.dst GROUP BY 1, 2""",
-    # average ranks, then Pearson's coefficient of the ranks
-    "spearman_by_group": """
+    # average ranks, then Pearson's coefficient of the ranks; rows are counted by value first, and
+    # a value's rank is the rows in lower ranges of values, those below it in its range, and half its own
+    "spearman_by_group": (
+        """
+        WITH pairs AS (SELECT l_returnflag AS f, l_quantity AS q, l_extendedprice AS p, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+        v AS (SELECT f, 'q' AS c, q AS v, sum(n) AS n FROM pairs GROUP BY 1, 2, 3 UNION ALL SELECT f, 'p' AS c, p AS v, sum(n) AS n FROM pairs GROUP BY 1, 2, 3),
+        r AS (SELECT f, c, floor(v / 1000) AS part, sum(n) AS n FROM v GROUP BY 1, 2, 3),
+        below AS (SELECT f, c, part, sum(n) OVER (PARTITION BY f, c ORDER BY part) - n AS n FROM r),
+        ranks AS (SELECT v.f, v.c, v.v, below.n + sum(v.n) OVER (PARTITION BY v.f, v.c, below.part ORDER BY v.v) - v.n + (v.n + 1) / 2e0 AS rk
+                  FROM v JOIN below ON below.f = v.f AND below.c = v.c AND below.part = floor(v.v / 1000)),
+        x AS (SELECT pairs.f, cast(pairs.n AS double) AS n, a.rk AS a, b.rk AS b FROM pairs JOIN ranks a ON a.f = pairs.f AND a.c = 'q' AND a.v = pairs.q JOIN ranks b ON b.f = pairs.f AND b.c = 'p' AND b.v = pairs.p),
+        m AS (SELECT f, sum(n * a) / sum(n) AS a, sum(n * b) / sum(n) AS b FROM x GROUP BY 1)
+        SELECT x.f AS l_returnflag, round(sum(x.n * (x.a - m.a) * (x.b - m.b)) / sqrt(sum(x.n * (x.a - m.a) * (x.a - m.a)) * sum(x.n * (x.b - m.b) * (x.b - m.b))), 6) AS rho, cast(sum(x.n) AS bigint) AS n
+        FROM x JOIN m ON m.f = x.f GROUP BY 1""",
+        """
         SELECT l_returnflag, round(corr(rq, rp), 6) AS rho, count(*) AS n FROM (SELECT l_returnflag,
           rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2e0 AS rq,
           rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2e0 AS rp FROM lineitem) t GROUP BY 1""",
+    ),
     "describe_quantiles": (
         """SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, min(l_quantity) AS lo,
            percentile(l_quantity, 0.25D) AS q25, percentile(l_quantity, 0.5D) AS q50, percentile(l_quantity, 0.75D) AS q75, max(l_quantity) AS hi FROM lineitem GROUP BY 1""",
