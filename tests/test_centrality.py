@@ -5,7 +5,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from vouchlake.operators import centrality
+from vouchlake.operators import centrality, graph
 
 EDGES = [(1, 2), (2, 3), (3, 1), (1, 4), (4, 3), (3, 5), (5, 1), (2, 2), (6, 1), (1, 2)]
 
@@ -58,3 +58,23 @@ def test_influence(spark, edges):
     assert centrality.influence(edges.where("src < 0")).count() == 0
     with pytest.raises(ValueError, match="no fixed point"):
         centrality.influence(edges, rounds=1)
+
+
+@pytest.mark.parametrize(("n", "m", "seed"), [(30, 25, 1), (12, 40, 2), (1, 1, 3)])
+def test_closure(spark, n, m, seed):
+    rnd = np.random.default_rng(seed)
+    pairs = [(int(a), int(b)) for a, b in rnd.integers(0, n, (m, 2))]
+    if seed == 1:
+        pairs += [(100 + i, 101 + i) for i in range(20)]
+    reach = set(pairs)
+    while True:
+        more = {(a, d) for a, b in reach for c, d in pairs if b == c} - reach
+        if not more:
+            break
+        reach |= more
+    got = [(r.src, r.dst) for r in graph.closure(spark.createDataFrame(pairs, "src long, dst long")).collect()]
+    assert sorted(got) == sorted(reach)
+
+
+def test_closure_of_nothing(spark):
+    assert graph.closure(spark.createDataFrame([], "src long, dst long")).count() == 0

@@ -13,16 +13,20 @@ from vouchlake.staging import cut
 def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) reachable over ``edges``; a node on a cycle reaches itself.
 
-    Each round joins only the pairs found last with the edges, until none is new.
+    A round doubles the length looked at: pairs joined by shorter paths, and pairs joined by
+    paths of exactly that length, are put end to end, so that a chain of n links takes log2(n)
+    rounds. It ends once a round finds no new pair.
     """
-    base = edges.select("src", "dst").distinct()
-    found = [cut(base)]
-    while not found[-1].isEmpty():
-        step = found[-1].select("src", F.col("dst").alias("mid")).join(base.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        for earlier in found:
-            step = step.join(earlier, ["src", "dst"], "left_anti")
-        found.append(cut(step))
-    return reduce(DataFrame.union, found)
+    exact, found = cut(edges.select("src", "dst").distinct()), []
+    onward = lambda left, right: left.withColumnRenamed("dst", "mid").join(right.withColumnRenamed("src", "mid"), "mid").select("src", "dst")
+    while True:
+        known = reduce(DataFrame.union, found) if found else None
+        step = exact if known is None else exact.union(onward(known, exact)).distinct().join(known, ["src", "dst"], "left_anti")
+        fresh = cut(step)
+        if fresh.isEmpty():
+            return fresh if known is None else known
+        found.append(fresh)
+        exact = cut(onward(exact, exact).distinct())
 
 
 def inherited(edges: DataFrame, flagged: DataFrame) -> DataFrame:
