@@ -69,3 +69,19 @@ def test_more_columns(spark):
     assert one(C.html_plain(F.lit(" a­b  c\n"))) == "ab c" and one(C.match_plain(F.lit("AES-128,  x)."))) == "AES-128, x"
     assert (one(C.service_pack(F.lit("OS SP3 service pack 2"))), one(C.release(F.lit("v1"))), one(C.release(F.lit("Release 12")))) == (2, None, 12)
     assert one(C.is_composite(F.lit("A Composite Product Evaluation."))) is True and one(C.is_composite(F.lit(None).cast("string"))) is False
+
+
+def test_reports_of_odd_labels(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "b"), (None, "a"), ("b", None)], "y string, g string")
+    counts = learning.crosstab(df, "y", "g", {"c": "a"})
+    got = {r.label: (r.prec, r.rec, r.f1, r.support) for r in learning.report(counts).collect()}
+    assert got == {"a": (1.0, 1 / 3, 0.5, 3), "b": (0.0, 0.0, 0.0, 0)}
+    one = learning.weighted_f1(learning.report(counts)).first()
+    assert (one.f1, one.balanced_accuracy, one.accuracy) == (0.5, 1 / 3, 1 / 3)
+    assert learning.report(learning.crosstab(df.limit(0), "y", "g")).count() == 0
+
+
+def test_texts_without_packages(spark):
+    rows = [(None,), ("",), ("EAL4 ALC_FLR.1 EAL4 ADV_IMP",)]
+    d = spark.createDataFrame(rows, "t string").select(C.packages(F.col("t")), C.first_level(F.col("t")), C.first_link(F.col("t")), C.front_page(F.col("t"), [("(EAL.)", {"x": 1})]).x)
+    assert [tuple(r) for r in d.collect()] == [(None, "", "", None), ({}, "", "", None), ({"EAL4": ["ADV_IMP"]}, "EAL4", "", "EAL4")]

@@ -27,6 +27,15 @@ def test_products_csv(spark, tmp_path):
     assert [(r["maintenance_title"], r["maintenance_date"]) for r in updates.collect()] == [("Fix", date(2021, 6, 1))]
 
 
+def test_encoding_of(spark, tmp_path):
+    head, row = ",".join(f"h{i}" for i in range(14)), "Cat,Caf\u00e9 \u201320\u20ac,M,DE,EAL4,,,,r,s,,,,"
+    for name, code in (("a", "utf-8"), ("b", "windows-1252")):
+        (tmp_path / f"{name}.csv").write_bytes(f"{head}\n{row}\n".encode(code))
+        assert readers.encoding_of(spark, str(tmp_path / f"{name}.csv")) == ("UTF-8" if name == "a" else "windows-1252")
+        base, _ = readers.products_csv(spark, [str(tmp_path / f"{name}.csv")])
+        assert [r["name"] for r in base.collect()] == ["Caf\u00e9 \u201320\u20ac"]
+
+
 def test_html_tables_and_fill_down(spark):
     page = "<table id='t'><tr><th>V</th></tr><tr><td>A &amp; B<a href='/x'>l</a><td>1</tr><tr><td></td><td>2</td></tr></table>"
     rows = readers.html_table_rows(spark.createDataFrame([("p", page), ("q", None)], "k string, h string"), "k", "h")

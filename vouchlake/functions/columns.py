@@ -324,3 +324,45 @@ def pages_with_tables(text: Column) -> Column:
     beyond = F.get(F.filter(pages, lambda n: n >= read["page"]), F.lit(0))
     found = F.filter(pages, lambda n: beyond.isNull() | (n != beyond))
     return F.when(listed != "", F.array_sort(F.array_distinct(F.transform(given, lambda n: n.cast("int"))))).otherwise(found)
+
+
+def first_level(text: Column) -> Column:
+    """The first `EAL` with its number; empty where there is none, also for null."""
+    return F.coalesce(F.regexp_extract(text, r"EAL\d+", 0), F.lit(""))
+
+
+def first_link(text: Column) -> Column:
+    """The first web address of a text; empty where there is none, also for null."""
+    return F.coalesce(F.regexp_extract(text, r"https?://[a-zA-Z0-9./\-_]+", 0), F.lit(""))
+
+
+def packages(text: Column) -> Column:
+    """Map of each level of a text to the components named after it, up to the next level;
+    of a level that comes twice the last counts."""
+    level = r"\bEAL\s*\d+\b"
+    names = F.transform(F.regexp_extract_all(text, F.lit(level), F.lit(0)), lambda n: F.replace(n, F.lit(" "), F.lit("")))
+    after = F.slice(F.split(text, level), F.lit(2), F.size(names))
+    parts = F.transform(after, lambda a: F.regexp_extract_all(a, F.lit(r"\b[A-Z]{3,4}_[A-Z]{3,4}(?:\.\d+)?\b"), F.lit(0)))
+    pairs = F.arrays_zip(names.alias("name"), parts.alias("parts"))
+    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["name"]))
+    return F.map_from_entries(last)
+
+
+def scheme_of(cert_id: Column, patterns: dict[str, list[str]]) -> Column:
+    """The first scheme one of whose patterns fits the whole id; null where none does."""
+    fits = lambda p: cert_id.rlike(rf"^(?:{p})$")
+    return F.coalesce(*[F.when(fits(p), F.lit(scheme)) for scheme, some in patterns.items() for p in some])
+
+
+def front_page(text: Column, rules: list[tuple[str, dict[str, int]]], first: int | None = None) -> Column:
+    """Struct of the fields that the rules name, from the first rule that fits the text.
+
+    A rule is a pattern and the number of the group of each field; white space around values
+    goes and inside them becomes one blank. Null where no rule fits. `first` looks at that
+    many leading characters only, where a front page ends before the text does.
+    """
+    page = text if first is None else F.substring(text, 1, first)
+    names = list(dict.fromkeys(n for _, groups in rules for n in groups))
+    got = lambda p, at: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(page, p, at), r"\s+", " ")), F.lit(""))
+    one = lambda p, groups: F.when(page.rlike(p), F.struct(*[(got(p, groups[n]) if n in groups else F.lit(None).cast("string")).alias(n) for n in names]))
+    return F.coalesce(*[one(p, groups) for p, groups in rules])

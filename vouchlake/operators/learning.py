@@ -60,3 +60,30 @@ def split(df: DataFrame, by: list[str], key: str, train_share: float = 0.3, vali
     rn, n = F.row_number().over(w.orderBy(F.xxhash64(key), key)), F.count("*").over(w)
     part = F.when(n < rare, "test").when(rn <= n * train_share, "train").when(rn <= n * (train_share + valid_share), "valid").otherwise("test")
     return df.withColumn("part", part)
+
+
+def prediction_counts(df: DataFrame, key: str, label: str, n_labels: int) -> DataFrame:
+    """One row a key with `pred_0` ... : how many of its segments each label was given to."""
+    return df.groupBy(key).agg(*[F.count_if(F.col(label) == i).alias(f"pred_{i}") for i in range(n_labels)])
+
+
+def crosstab(df: DataFrame, label: str, guess: str, mapping: dict[str, str] | None = None) -> DataFrame:
+    """(label, guess, n) over rows that have both, after mapping labels to coarser ones (others stay)."""
+    table = F.create_map(*[F.lit(x) for pair in (mapping or {}).items() for x in pair]) if mapping else None
+    to = lambda c: F.col(c).cast("string") if table is None else F.coalesce(F.try_element_at(table, F.col(c).cast("string")), F.col(c).cast("string"))
+    both = df.where(F.col(label).isNotNull() & F.col(guess).isNotNull())
+    return both.groupBy(to(label).alias("label"), to(guess).alias("guess")).agg(F.count("*").alias("n"))
+
+
+def report(counts: DataFrame) -> DataFrame:
+    """(label, prec, rec, f1, support) from `crosstab`; 0 where a share has no rows below it."""
+    rows = counts.select(F.explode(F.array(F.struct(F.col("label").alias("label"), F.col("n").alias("actual"), F.lit(0).cast("long").alias("guessed"), F.when(F.col("label") == F.col("guess"), F.col("n")).otherwise(0).alias("hit")),
+        F.struct(F.col("guess").alias("label"), F.lit(0).cast("long").alias("actual"), F.col("n").alias("guessed"), F.lit(0).cast("long").alias("hit")))).alias("x")).select("x.*")
+    t = rows.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("actual", "guessed", "hit")])
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    return t.select("label", share(F.col("hit"), F.col("guessed")).alias("prec"), share(F.col("hit"), F.col("actual")).alias("rec"), share(2 * F.col("hit"), F.col("actual") + F.col("guessed")).alias("f1"), F.col("actual").alias("support"))
+
+
+def weighted_f1(reported: DataFrame) -> DataFrame:
+    """One row: F1 weighted by support, balanced accuracy over labels that occur, accuracy."""
+    return reported.where("support > 0").agg((F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1"), F.avg("rec").alias("balanced_accuracy"), (F.sum(F.col("rec") * F.col("support")) / F.sum("support")).alias("accuracy"))

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouchlake.functions import cert_ids, columns
-from vouchlake.operators import assurance, vulnerabilities
+from vouchlake.operators import assurance, learning, vulnerabilities
+from vouchlake.sources import readers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -192,10 +193,69 @@ def label_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def security_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of two levels, the first level, the holder's site and the scheme of an id."""
+    text = F.expr("concat('EAL ', k % 7 + 1, ' with ALC_FLR.', k % 3, ' or EAL5', if(k % 2 = 0, ' plus AVA_VAN.5, ADV_IMP', ''), ' see https://holder.org/', k, ' (site)')")
+    found = F.map_entries(columns.packages(text))
+    listed = F.array_join(F.array_sort(F.transform(found, lambda m: F.concat(m["key"], F.lit("="), F.array_join(m["value"], "+")))), ";")
+    schemes = {"NL": [r"NSCIB-CC-\d{2}"], "DE": [r"BSI-\d+", r"CC-\d"]}
+    cert_id = F.expr("element_at(array('NSCIB-CC-12', 'xNSCIB-CC-12', 'BSI-77', 'CC-5'), cast(k % 4 + 1 AS int))")
+    return _orders(spark, sf_dir).select("k", listed.alias("packages"), columns.first_level(text).alias("level"), columns.first_link(text).alias("site"), columns.scheme_of(cert_id, schemes).alias("scheme"))
+
+
+FRONT = [
+    (r"(?s)Certificate\s+(BSI-\d+)\s+for\s+(.+?)\s+from\s+(.+?)\n", {"cert_id": 1, "item": 2, "developer": 3}),
+    (r"Number\s*:\s*(\S+)\s+Lab\s*:\s*(.+)", {"cert_id": 1, "lab": 2}),
+]
+
+
+def front_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of two layouts, and some without either."""
+    text = F.expr("CASE k % 3 WHEN 0 THEN concat('Report\\nCertificate BSI-', k, ' for\\n Card \\n ', k % 7, ' from Maker ', k % 5, '\\nrest') WHEN 1 THEN concat('x Number : N', k, ' Lab: Some  lab ', k % 4) ELSE 'none' END")
+    return _orders(spark, sf_dir).select("k", columns.front_page(text, FRONT).alias("x")).select("k", "x.*")
+
+
+_SIMPLE = {"fr": "romance", "es": "romance", "it": "romance"}
+
+
+def _guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guess = F.when(F.col("text").contains(" the "), "en").when(F.col("text").contains(" der "), "de").otherwise(F.element_at(F.array(F.lit("fr"), F.lit("en")), F.expr("cast(doc_id % 2 + 1 AS int)")))
+    return _read(spark, sf_dir, "documents").withColumn("guess", guess)
+
+
+def label_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages against a plain guess, the Romance ones as one label."""
+    return learning.crosstab(_guesses(spark, sf_dir), "lang", "guess", _SIMPLE)
+
+
+def label_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = learning.report(learning.crosstab(_guesses(spark, sf_dir), "lang", "guess", _SIMPLE))
+    return x.select("label", *[F.round(c, 8).alias(c) for c in ("prec", "rec", "f1")], "support")
+
+
+def prediction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that an order's lines were given."""
+    return learning.prediction_counts(_read(spark, sf_dir, "lineitem").withColumn("label", F.col("l_partkey") % 3), "l_orderkey", "label", 3)
+
+
+def verified_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three options a product; annotators reject the second of every fourth, or find none good."""
+    part = _read(spark, sf_dir, "part")
+    labels = part.select(
+        F.expr("if(p_partkey % 2 = 0, concat('n', p_partkey), concat('Vendor: x\\nModule name: n', p_partkey, '\\nmore'))").alias("text"),
+        F.expr("map('option_1', if(p_partkey % 5 = 0, 'No good match', concat('t', p_partkey % 9)), 'option_2', concat('t', p_partkey % 12), 'option_3', 'unknown')").alias("options"),
+        F.expr("if(p_partkey % 4 = 0, array('$option_2'), null)").alias("wrong"),
+    )
+    dictionary = spark.range(20).select(F.expr("concat('t', id div 2)").alias("title"), F.expr("concat('u', id)").alias("uri"))
+    certs = part.select(F.col("p_partkey").alias("dgst"), F.expr("concat('n', p_partkey)").alias("name"))
+    return readers.verified_matches(labels, dictionary, certs).withColumn("verified_uris", F.array_join("verified_uris", ","))
+
+
 _Q = (
     canonical_ids, id_vote, level_floor, title_versions, platform_filter, version_pairs, published_while_valid, configured_vulnerabilities, requirement_resolution, actual_requirements,
     rule_counts, rule_matrix, rule_sums, reference_edges, archival_dates, status_lines, plain_vendors, plain_contacts, dictionary_parts, soft_votes,
     stripped_names, spaced_texts, level_packages, written_out, host_names, vendor_matches, label_shapes,
+    security_packages, front_pages, label_crosstab, label_report, prediction_counts, verified_labels,
 )
 QUERIES = {f.__name__: f for f in _Q}
 
@@ -208,7 +268,22 @@ _RULES = ", ".join(f"('{path}', '{p}')" for path, p in assurance.flat_rules(RULE
 _SEP = "[ ,;\\[\\]”\"'')(.]"
 _HITS = f"""hits AS (SELECT doc_id AS key, path, trim(unnest(regexp_extract_all(regexp_replace(coalesce(text, ''), '\\r?\\n', ' ', 'g'), concat('(?:^|{_SEP})(', pattern, ')(?:$|{_SEP})'), 1))) AS match
     FROM documents CROSS JOIN (VALUES {_RULES}) r(path, pattern)), counts AS (SELECT key, path, match, count(*) AS n FROM hits GROUP BY 1, 2, 3)"""
+_PAIR = """pair AS (SELECT CASE WHEN lang IN ('fr', 'es', 'it') THEN 'romance' ELSE lang END AS label, CASE WHEN text LIKE '% the %' THEN 'en' WHEN text LIKE '% der %' THEN 'de' WHEN doc_id % 2 = 0 THEN 'romance' ELSE 'en' END AS guess
+    FROM documents WHERE lang IS NOT NULL)"""
 ORACLE_SQL = {
+    "security_packages": """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 4 THEN concat('EAL5=', CASE WHEN o_orderkey % 2 = 0 THEN 'AVA_VAN.5+ADV_IMP' ELSE '' END)
+          ELSE array_to_string(list_sort([concat('EAL', o_orderkey % 7 + 1, '=ALC_FLR.', o_orderkey % 3), concat('EAL5=', CASE WHEN o_orderkey % 2 = 0 THEN 'AVA_VAN.5+ADV_IMP' ELSE '' END)]), ';') END AS packages,
+        'EAL5' AS level, concat('https://holder.org/', o_orderkey) AS site, (['NL', NULL, 'DE', 'DE'])[o_orderkey % 4 + 1] AS scheme FROM orders""",
+    "front_pages": """SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN concat('BSI-', o_orderkey) WHEN 1 THEN concat('N', o_orderkey) END AS cert_id, CASE WHEN o_orderkey % 3 = 0 THEN concat('Card ', o_orderkey % 7) END AS item,
+        CASE WHEN o_orderkey % 3 = 0 THEN concat('Maker ', o_orderkey % 5) END AS developer, CASE WHEN o_orderkey % 3 = 1 THEN concat('Some lab ', o_orderkey % 4) END AS lab FROM orders""",
+    "label_crosstab": f"WITH {_PAIR} SELECT label, guess, count(*) AS n FROM pair GROUP BY 1, 2",
+    "label_report": f"""WITH {_PAIR}, x AS (SELECT label FROM pair UNION SELECT guess FROM pair),
+        t AS (SELECT x.label, (SELECT count(*) FROM pair p WHERE p.label = x.label AND p.guess = x.label) AS hit, (SELECT count(*) FROM pair p WHERE p.label = x.label) AS support, (SELECT count(*) FROM pair p WHERE p.guess = x.label) AS guessed FROM x)
+        SELECT label, round(CASE WHEN guessed > 0 THEN hit * 1e0 / guessed ELSE 0 END, 8) AS prec, round(CASE WHEN support > 0 THEN hit * 1e0 / support ELSE 0 END, 8) AS rec, round(2e0 * hit / (support + guessed), 8) AS f1, support FROM t""",
+    "prediction_counts": """SELECT l_orderkey, count(*) FILTER (WHERE l_partkey % 3 = 0) AS pred_0, count(*) FILTER (WHERE l_partkey % 3 = 1) AS pred_1, count(*) FILTER (WHERE l_partkey % 3 = 2) AS pred_2 FROM lineitem GROUP BY 1""",
+    "verified_labels": """WITH t AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 9 END AS a, CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 12 < 10 THEN p_partkey % 12 END AS b FROM part),
+        u AS (SELECT DISTINCT k, unnest([concat('u', x * 2), concat('u', x * 2 + 1)]) AS uri FROM (SELECT k, a AS x FROM t UNION SELECT k, b FROM t) y WHERE x IS NOT NULL)
+        SELECT p_partkey AS dgst, (SELECT string_agg(uri, ',' ORDER BY uri) FROM u WHERE k = p_partkey) AS verified_uris FROM part""",
     "canonical_ids": """SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN concat('BSI-DSZ-CC-', o_orderkey % 9000 + 1000, '-V2-', o_orderkey % 20 + 2000) WHEN 1 THEN concat('ANSSI-CC-200', o_orderkey % 9 + 1, '/', o_orderkey % 50 + 10)
         WHEN 2 THEN concat('CSEC20190', o_orderkey % 89 + 10) WHEN 3 THEN concat('KECS-NISS-00', o_orderkey % 89 + 10, '-2017') WHEN 4 THEN concat('Certificate Number: 2006/', o_orderkey % 89 + 10) ELSE concat('report ', o_orderkey) END AS cert_id FROM orders""",
     "id_vote": """WITH c AS (SELECT l_orderkey AS dgst, l_linenumber % 4 AS source, concat('SERTIT-00', l_partkey % 5) AS cert_id, l_quantity / max(l_quantity) OVER (PARTITION BY l_orderkey, l_linenumber % 4) AS share FROM lineitem),

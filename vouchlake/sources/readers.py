@@ -24,18 +24,29 @@ PRODUCT_COLUMNS = [
 TAKEN_STATES = ["Analyzed", "Modified", "Deferred"]
 
 
-def products_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+def encoding_of(spark: SparkSession, path: str, otherwise: str = "windows-1252") -> str:
+    """UTF-8, or `otherwise` where some file of the path is no valid UTF-8."""
+    bad = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string")))
+    return "UTF-8" if bad.isEmpty() else otherwise
+
+
+def products_csv(spark: SparkSession, paths: list[str], encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(products, maintenance updates); a later path wins where products share a key.
 
-    Columns are taken by position, rows with another column count are dropped,
+    Without an encoding, each path is read by `encoding_of`. Columns are taken by position, rows with another column count are dropped,
     dates that do not parse are null.
     """
     schema = ", ".join(f"{c} string" for c in PRODUCT_COLUMNS)
-    read = [
-        spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "DROPMALFORMED").option("encoding", encoding)
-        .option("multiLine", True).option("escape", '"').csv(p).withColumn("source_order", F.lit(i))
-        for i, p in enumerate(paths)
-    ]
+    # Spark's CSV knows no windows-1252: its signs where iso-8859-1 has control characters are put in afterwards
+    signs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    odd, right = "".join(a for a, b in signs if b), "".join(b for _, b in signs)
+    read = []
+    for i, p in enumerate(paths):
+        code = encoding or encoding_of(spark, p)
+        west = code.lower() in ("windows-1252", "cp1252")
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "DROPMALFORMED").option("encoding", "iso-8859-1" if west else code).option("multiLine", True).option("escape", '"').csv(p)
+        rows = rows.select(*[F.translate(c, odd, right).alias(c) for c in PRODUCT_COLUMNS]) if west else rows
+        read.append(rows.withColumn("source_order", F.lit(i)))
     rows = read[0]
     for more in read[1:]:
         rows = rows.unionByName(more)
@@ -258,3 +269,20 @@ def weakness_categories(spark: SparkSession, path: str) -> DataFrame:
     x = spark.read.format("xml").option("rowTag", "Category").schema(schema).load(path)
     members = F.coalesce(F.array_distinct(F.transform("Relationships.Has_Member", lambda m: F.concat(F.lit("CWE-"), m["_CWE_ID"]))), F.array().cast("array<string>"))
     return x.select(F.concat(F.lit("CWE-"), "_ID").alias("category_id"), F.col("_Name").alias("name"), members.alias("members"))
+
+
+def verified_matches(labels: DataFrame, dictionary: DataFrame, certs: DataFrame) -> DataFrame:
+    """(dgst, verified_uris) from labelling results (text, options, wrong).
+
+    `options` maps an option's name to a dictionary title, `wrong` lists the names an annotator
+    rejected (with or without a leading $). `No good match` is no title; titles that the
+    dictionary (title, uri) lacks are passed over. The text is a certificate's name, or holds
+    it in a line `Module name: ...`. Every labelled certificate (dgst, name) has a row, with
+    null where nothing was confirmed.
+    """
+    line = F.regexp_extract("text", r"\nModule name: ([^\n]*)", 1)
+    name = F.when(F.contains("text", F.lit("\n")), line).otherwise(F.col("text"))
+    off = F.transform(F.coalesce("wrong", F.array()), lambda w: F.ltrim(w, F.lit("$")))
+    given = labels.select(name.alias("name"), F.explode_outer(F.map_values(F.map_filter("options", lambda k, v: (v != "No good match") & ~F.array_contains(off, k)))).alias("title"))
+    uris = given.join(dictionary.select("title", "uri"), "title", "left").groupBy("name").agg(F.array_sort(F.collect_set("uri")).alias("uris"))
+    return certs.select("dgst", "name").join(uris, "name").select("dgst", F.when(F.size("uris") > 0, F.col("uris")).alias("verified_uris"))
