@@ -39,6 +39,10 @@ def test_split_shares(spark):
     df = spark.range(104).selectExpr("id", "if(id < 100, 'a', 'b') AS kind")
     got = {(r["kind"], r["part"]): r["count"] for r in learning.split(df, ["kind"], "id").groupBy("kind", "part").count().collect()}
     assert got == {("a", "train"): 30, ("a", "valid"): 20, ("a", "test"): 50, ("b", "test"): 4}
+    odd = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(40)], "id long, kind string")
+    cut = learning.split(odd, ["kind"], "id").withColumn("h", F.xxhash64("id")).toPandas()
+    for _, group in cut.groupby("kind", dropna=False):
+        assert group.sort_values("h")["part"].tolist() == ["train"] * 6 + ["valid"] * 4 + ["test"] * 10
 
 
 def test_readers(spark, tmp_path):

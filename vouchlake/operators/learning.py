@@ -55,11 +55,22 @@ def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def split(df: DataFrame, by: list[str], key: str, train_share: float = 0.3, valid_share: float = 0.2, rare: int = 5) -> DataFrame:
-    """`df` with `part`: train, valid or test, by shares inside each class; classes under `rare` rows are test."""
-    w = Window.partitionBy(*by)
-    rn, n = F.row_number().over(w.orderBy(F.xxhash64(key), key)), F.count("*").over(w)
+    """`df` with `part`: train, valid or test, by shares inside each class; classes under `rare` rows are test.
+
+    Rows rank by the key's hash: inside one of 1,024 spans of it, after the rows of lower spans, so
+    that no class lies in one task. Null classes are a class. Columns named __span or __key are not allowed.
+    """
+    rows = df.withColumn("__span", F.shiftright(F.xxhash64(key), 54))
+    held = rows.groupBy(*by, "__span").agg(F.count("*").alias("c"))
+    of = Window.partitionBy(*by)
+    sums = held.select(
+        F.struct(*by, "__span").alias("__key"), F.sum("c").over(of).alias("__n"), (F.sum("c").over(of.orderBy("__span").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("__below")
+    )
+    rows = rows.join(sums, F.struct(*by, "__span").eqNullSafe(F.col("__key")))
+    rn = F.col("__below") + F.row_number().over(Window.partitionBy(*by, "__span").orderBy(F.xxhash64(key), key))
+    n = F.col("__n")
     part = F.when(n < rare, "test").when(rn <= n * train_share, "train").when(rn <= n * (train_share + valid_share), "valid").otherwise("test")
-    return df.withColumn("part", part)
+    return rows.withColumn("part", part).select(*df.columns, "part")
 
 
 def prediction_counts(df: DataFrame, key: str, label: str, n_labels: int) -> DataFrame:

@@ -109,9 +109,18 @@ PLANS: dict[str, str | tuple[str, str]] = {
     "labelled_graphs": f"WITH {_REFS}, e AS (SELECT 'policy' AS graph, src, dst FROM refs UNION ALL SELECT 'module', dst, src FROM refs) SELECT graph, src AS node, count(*) AS n FROM e GROUP BY 1, 2",
     "cluster_lookup": "SELECT n_name AS cwe, n_regionkey AS secondary, r_name AS primary_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey",
     "ego_graph": f"WITH {_REFS} SELECT src, dst FROM refs WHERE src = 7 OR dst = 7",
-    # 30, 20 and 50 percent of every class; classes under five documents go to the test part
-    "stratified_split": """SELECT doc_id, CASE WHEN n < 5 OR rn > n / 2e0 THEN 'test' WHEN rn <= n * 3e-1 THEN 'train' ELSE 'valid' END AS part FROM (SELECT doc_id, count(*) OVER (PARTITION BY source, lang) AS n,
+    # 30, 20 and 50 percent of every class; classes under five documents go to the
+    # test part; ranks are summed over 4,096 spans of the hash, so that no class lies in one task
+    "stratified_split": (
+        """WITH d AS (SELECT doc_id, source, lang, md5(cast(doc_id AS string)) AS h FROM documents),
+        r AS (SELECT source, lang, substr(h, 1, 3) AS span, count(*) AS c FROM d GROUP BY source, lang, substr(h, 1, 3)),
+        s AS (SELECT source, lang, span, sum(c) OVER (PARTITION BY source, lang) AS n, sum(c) OVER (PARTITION BY source, lang ORDER BY span) - c AS below FROM r),
+        x AS (SELECT d.doc_id, s.n, s.below + row_number() OVER (PARTITION BY d.source, d.lang, s.span ORDER BY d.h, d.doc_id) AS rn
+              FROM d JOIN s ON d.source <=> s.source AND d.lang <=> s.lang AND substr(d.h, 1, 3) = s.span)
+        SELECT doc_id, CASE WHEN n < 5 OR rn > n / 2e0 THEN 'test' WHEN rn <= n * 3e-1 THEN 'train' ELSE 'valid' END AS part FROM x""",
+        """SELECT doc_id, CASE WHEN n < 5 OR rn > n / 2e0 THEN 'test' WHEN rn <= n * 3e-1 THEN 'train' ELSE 'valid' END AS part FROM (SELECT doc_id, count(*) OVER (PARTITION BY source, lang) AS n,
         row_number() OVER (PARTITION BY source, lang ORDER BY md5(cast(doc_id AS varchar(20))), doc_id) AS rn FROM documents) t""",
+    ),
     "labs_of_reports": """SELECT DISTINCT c_mktsegment AS scheme, upper(substr(c_name, 1, 8)) AS lab FROM customer""",
 }
 
