@@ -47,9 +47,8 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
     while not layers[-1].isEmpty():
         step = layers[-1].withColumnRenamed("dst", "mid").join(base.select(F.col("src").alias("mid"), "dst"), "mid").where("src <> dst")
         step = step.groupBy("src", "dst").agg(F.first("hops").alias("hops"), F.sum("paths").alias("paths")).select("src", "dst", (F.col("hops") + 1).alias("hops"), "paths")
-        for earlier in layers:
-            step = step.join(earlier.select("src", "dst"), ["src", "dst"], "left_anti")
-        layers.append(cut(step))
+        known = reduce(DataFrame.union, layers).select("src", "dst")
+        layers.append(cut(step.join(known, ["src", "dst"], "left_anti")))
     return reduce(DataFrame.union, layers)
 
 

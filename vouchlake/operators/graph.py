@@ -91,9 +91,8 @@ def hops_to(edges: DataFrame, target: int) -> DataFrame:
     layers = [edges.sparkSession.range(1).select(F.lit(target).cast("long").alias("node"), F.lit(0).alias("hops"))]
     while True:
         step = base.join(layers[-1].withColumnRenamed("node", "dst"), "dst").select(F.col("src").cast("long").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
-        for earlier in layers:
-            step = step.join(earlier.select("node"), "node", "left_anti")
-        layers.append(cut(step))
+        known = reduce(DataFrame.union, layers).select("node")
+        layers.append(cut(step.join(known, "node", "left_anti")))
         if layers[-1].isEmpty():
             return reduce(DataFrame.union, layers)
 
