@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchlake.llm import exact_dedup, fingerprint, langid, license_scan, mixing, near_dedup, packing, quality, sharding, token_count
+from vouchlake.llm import (
+    exact_dedup, fingerprint, langid, license_scan, mixing, near_dedup, packing, piece_bpe, quality, sharding, token_alignment, token_count,
+)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, _docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_fingerprints, op4_sharding, op5_language_id, op6_token_counts, op7_quality, op8_packing, op9_license_scan, op10_mixing)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = token_alignment.align_tokens(spark, _docs(spark, sf_dir), _vocab("byte_bpe_50k.json"), _vocab("piece_bpe_32k.model"))
+    return got.drop("groups").withColumn("groups_sha256", F.when(got["groups"] == "", "").otherwise(F.sha2("groups", 256)))
+
+
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _vocab("piece_bpe_32k.model")
+    got = piece_bpe.decode(spark, piece_bpe.encode(spark, _docs(spark, sf_dir), path), path)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_exact_dedup, op3_fingerprints, op4_sharding, op5_language_id, op6_token_counts, op7_quality,
+        op8_packing, op9_license_scan, op10_mixing, op12_token_alignment, op13_piece_bpe,
+    )
+}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
