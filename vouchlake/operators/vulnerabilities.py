@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vouchlake.operators import patterns
+
 
 def uri_of_criteria(matches: DataFrame, used: DataFrame) -> DataFrame:
     """(criteria_id, uri) of the product names in use; the feed is cut down before any join."""
@@ -60,20 +62,18 @@ def weaknesses(pairs: DataFrame, cves: DataFrame) -> DataFrame:
 def keyword_counts(docs: DataFrame, rules: list[tuple[str, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, path, match, n): how often each rule's matches stand between separators.
 
-    `rules` are (dotted path, pattern); patterns run as Java expressions in one pass
-    over each text. Line ends count as spaces; a separator belongs to one match only.
+    `rules` are (dotted path, pattern), Java expressions. Line ends count as spaces; a
+    separator belongs to one match only. A text is read once for all rules and then once
+    for each rule that can match there (patterns.promising). Null texts have no matches.
     """
-    #: What may stand around a match.
-    sep = "[ ,;\\[\\]”\"')(.]"
+    if not rules:
+        return docs.select(F.col(key).alias("key"), F.lit("").alias("path"), F.lit("").alias("match"), F.lit(0).cast("long").alias("n")).limit(0)
     body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\\r?\\n", " ")
-
-    def found(path: str, pattern: str):
-        every = F.regexp_extract_all(body, F.lit(f"(?:^|{sep})({pattern})(?:$|{sep})"), F.lit(1))
-        return F.transform(every, lambda m: F.struct(F.lit(path).alias("path"), F.trim(m).alias("match")))
-
-    hits = [found(path, p) for path, p in rules]
-    rows = docs.select(F.col(key).alias("key"), F.explode(F.concat(*hits)).alias("h"))
-    return rows.groupBy("key", "h.path", "h.match").agg(F.count("*").alias("n"))
+    texts = docs.select(F.col(key).alias("key"), body.alias("body"))
+    each = texts.select("key", "body", F.explode(patterns.promising([p for _, p in rules])(F.col("body"))).alias("rule"))
+    named = lambda at: F.get(F.array(*[F.lit(r[at]) for r in rules]), F.col("rule"))
+    hits = each.select("key", named(0).alias("path"), F.explode(patterns.matches(F.col("body"), named(1))).alias("match"))
+    return hits.groupBy("key", "path", F.trim("match").alias("match")).agg(F.count("*").alias("n"))
 
 
 def tfidf(docs: DataFrame, key: str = "doc_id", text: str = "text", least_docs: int = 1) -> DataFrame:

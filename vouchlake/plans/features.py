@@ -104,6 +104,22 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir)
 
 
+#: Nine hundred patterns in four shapes, of words of three syllables.
+SYLLABLES = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "en", "ou", "is", "of", "to")
+SHAPES = ("{0}", "(?i){0}(?:ing|ed)", "{0} th[a-z]+", "{0}[a-z]{{2,4}}")
+
+
+def _many_rules() -> list[tuple[str, str]]:
+    words = [a + b + SYLLABLES[(i + 2 * j) % 15] for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES)]
+    return [(f"s{k}.{w}", shape.format(w)) for k, shape in enumerate(SHAPES) for w in words]
+
+
+def many_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine hundred rules at once, over all documents: matches and documents of each rule."""
+    counts = vulnerabilities.keyword_counts(_read(spark, sf_dir, "documents"), _many_rules())
+    return counts.groupBy("path").agg(F.sum("n").alias("n"), F.countDistinct("key").alias("docs"), F.countDistinct("match").alias("matches"))
+
+
 def rule_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assurance.keyword_matrix(_counts(spark, sf_dir), ["words.en", "words.fr", "terms", "words"])
 
@@ -253,7 +269,7 @@ def verified_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _Q = (
     canonical_ids, id_vote, level_floor, title_versions, platform_filter, version_pairs, published_while_valid, configured_vulnerabilities, requirement_resolution, actual_requirements,
-    rule_counts, rule_matrix, rule_sums, reference_edges, archival_dates, status_lines, plain_vendors, plain_contacts, dictionary_parts, soft_votes,
+    rule_counts, many_rule_counts, rule_matrix, rule_sums, reference_edges, archival_dates, status_lines, plain_vendors, plain_contacts, dictionary_parts, soft_votes,
     stripped_names, spaced_texts, level_packages, written_out, host_names, vendor_matches, label_shapes,
     security_packages, front_pages, label_crosstab, label_report, prediction_counts, verified_labels,
 )
@@ -306,6 +322,12 @@ ORACLE_SQL = {
     "requirement_resolution": f"WITH {_FOUND} SELECT dgst, family, level FROM resolved",
     "actual_requirements": f"""WITH {_FOUND}, implied AS (SELECT o_orderkey AS dgst, family, level FROM orders JOIN (VALUES {_IMPLIED}) i(eal, family, level) ON eal = concat('EAL', substr(o_orderpriority, 1, 1)))
         SELECT dgst, family, level FROM resolved UNION ALL SELECT dgst, family, level FROM implied i WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.dgst = i.dgst AND r.family = i.family)""",
+    "many_rule_counts": f"""WITH s AS (SELECT [{', '.join(repr(x) for x in SYLLABLES)}] AS x), words AS (SELECT x[i + 1] || x[j + 1] || x[(i + 2 * j) % 15 + 1] AS w FROM s, range(15) a(i), range(15) b(j)),
+        rules AS (SELECT 's0.' || w AS path, w AS p, w FROM words UNION ALL SELECT 's1.' || w, '(?i)' || w || '(?:ing|ed)', w FROM words
+            UNION ALL SELECT 's2.' || w, w || ' th[a-z]+', w FROM words UNION ALL SELECT 's3.' || w, w || '[a-z]{{2,4}}', w FROM words),
+        body AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r?\n', ' ', 'g') AS t FROM documents),
+        found AS (SELECT doc_id, path, trim(unnest(regexp_extract_all(t, concat('(?:^|{_SEP})(', p, ')(?:$|{_SEP})'), 1))) AS match FROM body JOIN rules ON contains(lower(t), w))
+        SELECT path, count(*) AS n, count(DISTINCT doc_id) AS docs, count(DISTINCT match) AS matches FROM found GROUP BY 1""",
     "rule_counts": f"WITH {_HITS} SELECT key, path, match, n FROM counts",
     "rule_matrix": f"""WITH {_HITS} SELECT key, cast(sum(CASE WHEN path = 'words.en' THEN n ELSE 0 END) AS bigint) AS words_en, cast(sum(CASE WHEN path = 'words.fr' THEN n ELSE 0 END) AS bigint) AS words_fr,
         cast(sum(CASE WHEN path LIKE 'terms.%' THEN n ELSE 0 END) AS bigint) AS terms, cast(sum(CASE WHEN path LIKE 'words.%' THEN n ELSE 0 END) AS bigint) AS words FROM counts GROUP BY 1""",
