@@ -140,11 +140,6 @@ def rollup_to_top_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_parents(_forest(spark, sf_dir).select(F.col("src").alias("node"), F.col("dst").alias("parent")))
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """(node) of every node that reaches itself."""
-    return closure(edges).where("src = dst").select(F.col("src").alias("node"))
-
-
 def reach(edges: DataFrame) -> DataFrame:
     """(node, n_descendants, n_ancestors) of every node that has an edge."""
     pairs = closure(edges)
@@ -160,10 +155,6 @@ def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return half.union(back).distinct()
 
 
-def nodes_on_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return on_cycles(_rings(spark, sf_dir))
-
-
 def reach_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(_edges(spark, sf_dir))
 
@@ -182,7 +173,7 @@ _F = "(SELECT c_custkey AS src, 25 * ((c_custkey // 25) // 2) + c_custkey % 25 A
 _T = f"WITH RECURSIVE t AS (SELECT DISTINCT dst AS node, dst AS component FROM {_F} WHERE dst NOT IN (SELECT src FROM {_F}) UNION ALL SELECT e.src, t.component FROM t JOIN {_F} e ON e.dst = t.node)"
 QUERIES = {
     f.__name__: f
-    for f in (edges_direct, closure_indirect, reverse_edges, transitive_attribute_propagation, connected_components_forest, component_sizes, shortest_hops, rollup_to_top_parent, degree_centrality, nodes_on_cycles, reach_counts)
+    for f in (edges_direct, closure_indirect, reverse_edges, transitive_attribute_propagation, connected_components_forest, component_sizes, shortest_hops, rollup_to_top_parent, degree_centrality, reach_counts)
 }
 ORACLE_SQL = {
     "edges_direct": f"SELECT src, dst FROM {_E}",
@@ -196,8 +187,6 @@ ORACLE_SQL = {
     "degree_centrality": f"""
         SELECT node, count(*) AS degree, round(count(*) / (count(*) OVER () - 1)::double, 8) AS centrality
         FROM (SELECT src AS node FROM {_E} UNION ALL SELECT dst FROM {_E}) GROUP BY 1""",
-    "nodes_on_cycles": """WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey // 2 AS dst FROM supplier WHERE s_suppkey > 0 UNION SELECT s_suppkey // 20, s_suppkey // 20 * 4 FROM supplier WHERE s_suppkey >= 20),
-        r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src AS node FROM r WHERE src = dst""",
     "reach_counts": f"""{_C}, a AS (SELECT src AS node, count(*) AS d FROM r GROUP BY 1), b AS (SELECT dst AS node, count(*) AS u FROM r GROUP BY 1)
         SELECT coalesce(a.node, b.node) AS node, coalesce(d, 0) AS n_descendants, coalesce(u, 0) AS n_ancestors FROM a FULL OUTER JOIN b ON a.node = b.node""",
 }
