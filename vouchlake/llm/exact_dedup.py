@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouchlake.llm.scratch import Scratch
+from vouchlake.llm.scratch import Scratch, own_names
 
 ROWS_A_BUCKET = 2_000_000
 _SETTINGS = "generation INT, buckets INT"
@@ -112,10 +112,12 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     """The documents that stay, with their own columns; rows that repeat id and text once."""
     scratch = Scratch(spark, "exact")
     digests = scratch.cut(_digests(docs, id_col, text_col), "digests")
-    stay = _flagged(spark, digests, scratch, None, None).where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("__keep"), F.col("digest").alias("__digest")).distinct()
+    keep, digest, sha = own_names(docs, "keep", "digest", "sha")
+    flagged = _flagged(spark, digests, scratch, None, None).where(F.col("id").eqNullSafe(F.col("keep_id")))
+    stay = flagged.select(F.col("id").alias(keep), F.col("digest").alias(digest)).distinct()
     text = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    marked = docs.withColumn("__sha", text)
-    joined = marked.join(stay, marked[id_col].cast("long").eqNullSafe(F.col("__keep")) & (F.col("__sha") == F.col("__digest")), "left_semi")
+    marked = docs.withColumn(sha, text)
+    joined = marked.join(stay, marked[id_col].cast("long").eqNullSafe(F.col(keep)) & (F.col(sha) == F.col(digest)), "left_semi")
     if not digests.groupBy("id", "digest").count().where("count > 1").isEmpty():
-        joined = joined.dropDuplicates([id_col, "__sha"])
-    return joined.drop("__sha")
+        joined = joined.dropDuplicates([id_col, sha])
+    return joined.drop(sha)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vouchlake.llm.scratch import small_batches
+from vouchlake.llm.scratch import own_names, small_batches
 
 SAMPLE_DOCS, DICT_BYTES, LEVEL = 100, 64 << 10, 6
 BLOCK, GAP, MARGIN = 32 << 10, 2, 0.01
@@ -88,5 +88,6 @@ def held_out(doc_id: F.Column) -> F.Column:
 def confident(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents whose language is not rejected, with their own columns; of rows
     that share an id, all go if one is rejected."""
-    bad = identify(spark, docs, learn(docs.where(~held_out(F.col("doc_id"))))).where("rejected").select(F.col("doc_id").alias("__id"))
-    return docs.join(bad, F.col("doc_id") == F.col("__id"), "left_anti")
+    (own,) = own_names(docs, "id")
+    bad = identify(spark, docs, learn(docs.where(~held_out(F.col("doc_id"))))).where("rejected").select(F.col("doc_id").alias(own))
+    return docs.join(bad, docs["doc_id"] == F.col(own), "left_anti")

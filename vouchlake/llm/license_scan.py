@@ -4,7 +4,8 @@ Texts are normalised: lower case, other characters to one space, S for a line
 break, H for the end of a sentence. Sentences of the catalogue are looked up
 where one begins and ends at S or H; S may stand between any two of its words
 (wrapped lines), two S in a row (an empty line) may not. A subject before the
-sentence ("this file is") is passed over. Notices are a verb and a licence name.
+sentence ("this file is") is passed over. Notices are a verb and licence names, one or a
+list (joined by and, or, with, or commas), or an SPDX expression; exceptions are passed over.
 The sequence of identifiers of a document is matched against ordered rules, and
 a licence gives way to a narrower one found (BROADER). Null or empty text has
 no findings.
@@ -13,12 +14,14 @@ no findings.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _GNU = "free software|you can redistribute it and or modify it under the terms of"
 _FSF = "as published by the free software foundation"
+_LATER = "or at your option any later version"
 _OR_LATER = "of the license or at your option any later version"
 _BSD_AS_IS = "this software is provided by the {} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
 _BSD_OWNERS = ("copyright holders and contributors", "copyright holder and contributors", "author and contributors", "authors and contributors", "regents and contributors", "author", "authors", "copyright holder", "copyright holders")
@@ -95,7 +98,7 @@ SENTENCES |= {
     f"{_GNU} the gnu {long} {_FSF}|{either}version {v.replace('.', ' ').removesuffix(' 0')} {tail}": f"{kind}-{v}{suffix}-notice"
     for kind, long, versions in (("gpl", "general public license", ("2.0", "3.0")), ("lgpl", "lesser general public license", ("2.1", "3.0")), ("lgpl", "library general public license", ("2.0",)), ("agpl", "affero general public license", ("3.0",)))
     for v in versions
-    for either, tail, suffix in (("either ", _OR_LATER, "-or-later"), ("", _OR_LATER, "-or-later"), ("", "of the license", ""))
+    for either, tail, suffix in (("either ", _OR_LATER, "-or-later"), ("", _OR_LATER, "-or-later"), ("either ", _LATER, "-or-later"), ("", _LATER, "-or-later"), ("", "of the license", ""))
 }
 #: Fixed values: (ordered identifiers, licence); a rule needs its identifiers in this order.
 RULES = [
@@ -141,19 +144,30 @@ _GNU_IDS = sorted({i for i in [*NAMES, *SENTENCES.values()] if re.match(r"(l|a)?
 RULES += [((i,), i.removesuffix("-notice").replace("gpl", "GPL").replace("lGPL", "LGPL").replace("aGPL", "AGPL")) for i in _GNU_IDS]
 #: A licence is left out where one that begins with any of these is found.
 BROADER = {"BSD": ("BSD-",), "BSD-2-Clause": ("BSD-3-Clause",), "GPL": ("GPL-",), "LGPL": ("LGPL-",), "AGPL": ("AGPL-",)}
-TRIGGER = "(?i)(licen[sc]e|permission|free\\s+software|unencumbered|redistribution|waived|dedicated|anyone is free|copy of the mpl|(?:released|distributed|available|provided|published|covered)\\s+(?:under|by))"
+TRIGGER = "(?i)(licen[sc]e|permission|free\\s+software|unencumbered|redistribution|waived|dedicated|anyone is free|copy of the mpl|(?:released|distributed|available|provided|published|covered)\\s+under|provided\\s+by)"
 
 _GAP, _ANY = "(?: S)? ", "(?: [HS]){0,2} "
-_VERB = "(?:(?:made |also |hereby |dual )?(?:licensed|released|distributed|available|provided|published|covered) (?:under|by) (?:the terms (?:and conditions )?of )?(?:the |an? )?(?:version of the )?|spdx license identifier )"
+_VERB = "(?:(?:made |also |hereby |dual )?(?:licensed|released|distributed|available|provided|published|covered) under (?:the terms (?:and conditions )?of )?(?:either (?:of )?)?(?:the |an? )?(?:version of the )?|spdx license identifier )"
 _LEAD = "(?:(?!(?:[a-z0-9]+ (?:S )?){0,7}(?:that|if|whether|not|no|never) )(?:[a-z0-9]+ (?:S )?){1,8}?(?:is|are) )?"
-_TAIL = "(?: the license| the licence)?(?: (?:see|as found in|which can be found|found in|a copy of which)(?: (?:S )?[a-z0-9]+){1,14}?)?"
+#: Between the names of a list.
+_AND = " (?:(?:and or|and|or|with) )?(?:at your option )?(?:the |an? )?"
+_TAIL = "(?: with (?:the )?(?:[a-z0-9]+ ){1,4}exception(?: [0-9]+){0,2})?(?: the license| the licence)?(?: (?:see|as found in|which can be found|found in|a copy of which)(?: (?:S )?[a-z0-9]+){1,14}?)?"
+
+
+def _first(texts: Iterable[str]) -> list[str]:
+    """Longer ones before shorter ones."""
+    return sorted(texts, key=lambda x: (-len(x), x))
+
+
+def _names() -> str:
+    """The next name of a list."""
+    return "(?<= )(" + "|".join(_first(n for ns in NAMES.values() for n in ns)) + ")(?= |$)"
 
 
 def _pattern() -> str:
-    first = lambda xs: sorted(xs, key=lambda x: (-len(x), x))
-    names = "|".join(first(n for ns in NAMES.values() for n in ns))
-    notice = f"{_VERB}(?:{names})".replace(" ", _GAP)
-    whole = "|".join(s.replace(" ", _GAP).replace("|", _ANY) for s in first(SENTENCES))
+    names = "|".join(_first(n for ns in NAMES.values() for n in ns))
+    notice = f"{_VERB}(?:{names})(?:{_AND}(?:{names}))*".replace(" ", _GAP)
+    whole = "|".join(s.replace(" ", _GAP).replace("|", _ANY) for s in _first(SENTENCES))
     return f"(?<=[HS] ){_LEAD.replace('are) ', 'are)' + _GAP)}((?:{notice})(?={_TAIL} [HS])|(?:{whole})(?= [HS]))"
 
 
@@ -167,7 +181,9 @@ def scan(docs: DataFrame) -> DataFrame:
     plain = F.concat(F.lit("H "), F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9HS]+", " "), "^ | $", ""), F.lit(" H"))
     cores = F.regexp_extract_all(F.when(F.col("text").rlike(TRIGGER), plain).otherwise(F.lit("")), F.lit(_pattern()), 1)
     clean = F.transform(cores, lambda s: F.regexp_replace(F.regexp_replace(s, " [HS](?= )", ""), "^" + _VERB, "> "))
-    ids = F.filter(F.transform(clean, lambda s: F.element_at(table, s)), lambda i: i.isNotNull())
+    listed = lambda s: F.transform(F.regexp_extract_all(s, F.lit(_names()), F.lit(1)), lambda n: F.element_at(table, F.concat(F.lit("> "), n)))
+    found = F.flatten(F.transform(clean, lambda s: F.when(s.startswith("> "), listed(s)).otherwise(F.array(F.element_at(table, s)))))
+    ids = F.filter(found, lambda i: i.isNotNull())
     seq = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
     hits = [F.when(seq.rlike(" " + "(?: | .* )".join(x.replace(".", "\\.") for x in rule) + " "), F.lit(name)) for rule, name in RULES]
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vouchlake.llm.scratch import Scratch
+from vouchlake.llm.scratch import Scratch, own_names
 
 RANGE_ROWS, RANGES = 20_000, 64
 
@@ -72,6 +72,8 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents the mix takes, once for each epoch begun; a document at a
     source's cut goes in whole."""
-    taken = mix(spark, docs).select(F.col("doc_id").alias("__id"), F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int").alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times"))
-    joined = docs.join(taken, F.col("doc_id") == F.col("__id")).where("__times > 0")
-    return joined.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    own, times, epoch = own_names(docs, "id", "times", "epoch")
+    epochs = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    taken = mix(spark, docs).groupBy(F.col("doc_id").alias(own)).agg(F.max(epochs).alias(times))
+    joined = docs.join(taken, docs["doc_id"] == F.col(own)).where(F.col(times) > 0)
+    return joined.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

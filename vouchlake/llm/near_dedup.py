@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouchlake.llm.components import components
-from vouchlake.llm.scratch import Scratch, small_batches
+from vouchlake.llm.scratch import Scratch, own_names, small_batches
 
 WORDS, LEAST, REGISTERS, ROWS, ESTIMATE = 5, 0.8, 64, 4, 0.55
 BLOCK, SHINGLES, LEADERS, SPREAD = 512, 10_000_000, 8, 0.25
@@ -280,5 +280,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each class (rows that share its id all stay), with its own columns."""
-    gone = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    (own,) = own_names(docs, "id")
+    gone = near_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias(own))
+    return docs.join(gone, docs["doc_id"] == F.col(own), "left_anti")
