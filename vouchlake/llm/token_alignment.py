@@ -42,7 +42,7 @@ from vouchlake.llm.piece_bpe import SPACE, PieceEncoder, PieceVocabulary
 from vouchlake.llm.scratch import Scratch, small_batches
 from vouchlake.llm.token_count import SPACE as WHITE
 
-BLOCK_BYTES, HOT, B_BITS = 24 << 20, 20_000, 20
+BLOCK_BYTES, HOT, B_BITS = 16 << 20, 20_000, 20
 _PARTS = "block long, doc_id long, codes array<int>, code int, segment string, n long"
 _ALIGNED = "segment string, n long, n_a int, n_b int, n_groups int, groups string, links array<long>"
 _PACKED = pa.schema([("code", pa.int32()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("n_groups", pa.int32()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups", pa.string())])
