@@ -248,9 +248,10 @@ def _compose(docs: pa.Table, packed: pa.Table) -> pa.Table:
 def align_tokens(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups, the alignment
     itself: `a1,a2|b1;a3|b2,b3`."""
-    small_batches(spark, 20_000)
     scratch = Scratch(spark, "alignment")
+    small_batches(spark, 256)  # whole texts
     parts = scratch.cut(_parts(docs, unsafe_spaces(a_path, b_path)), "parts", "zstd")
+    small_batches(spark, 20_000)  # segments
     members = parts.where("code is not null").select("block", "code", "segment", "n")
     distinct = members.groupBy("segment").agg(F.sum("n").alias("n"))
     aligned = scratch.cut(_aligned(distinct, a_path, b_path), "aligned", "zstd")
