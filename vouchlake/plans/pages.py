@@ -23,13 +23,13 @@ def _page(lines: DataFrame, by: str, order: str, line: str, before: str, after:
 
 
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as products, one page a size; every third has a maintenance report."""
+    """Parts as products, a page for each size and thousand parts; every third has a maintenance report."""
     line = """concat('<tr><td><b>', p_name, '</b><a href="/files/', p_partkey, '.pdf" title="Certification Report ', p_partkey, '">report</a> <a href="/st/', p_partkey, '.pdf" title="Security Target">target</a>',
         if(p_partkey % 2 = 0, '<a href="/files/ppfiles/p.pdf">profile</a>', ''),
         if(p_partkey % 3 = 0, concat('<div><div>Maintenance Report(s)<ul><li>2020-02-03 – Update &amp; fix ', p_partkey, ' <a href="/m/', p_partkey, '" title="Maintenance Report: x">Maintenance Report</a></li></ul></div></div>'), ''),
         '</td><td>', p_brand, '<a title="Vendor''s web site" href="http://v', p_partkey, '">www</a></td><td><a href="/c/', p_partkey, '">c</a></td><td>2019-0', p_partkey % 9 + 1, '-11</td><td>', if(p_partkey % 4 = 0, '', '2024-10-05'),
         '</td><td>EAL', p_partkey % 7 + 1, '<br>ALC_FLR.', p_partkey % 3, '</td><td>', p_type, '</td></tr>')"""
-    html = _page(_read(spark, sf_dir, "part"), "p_size", "p_partkey", line, "concat('<html><body><p>x<table id=\"tblIC\"><tr><th>Product</th></tr><tr><td>made', p_size, '</td></tr>')", "</table></body></html>")
+    html = _page(_read(spark, sf_dir, "part"), "concat(p_size, '-', p_partkey div 1000)", "p_partkey", line, "concat('<html><body><p>x<table id=\"tblIC\"><tr><th>Product</th></tr><tr><td>made', max(p_size), '</td></tr>')", "</table></body></html>")
     x = pages.products(pages.rows(html, "page", "html"), BASE)
     m = F.get("maintenance", F.lit(0))
     return x.select(
@@ -40,10 +40,10 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as archived profiles, one page a nation; every seventh row lacks its link and goes."""
+    """Suppliers as archived profiles, a page for each nation and thousand suppliers; every seventh row lacks its link and goes."""
     line = """concat('<tr><td>', if(s_suppkey % 7 = 0, s_name, concat('<a href="/pp/', s_suppkey, '.pdf">', s_name, '</a>')), '</td><td>1.', s_suppkey, '</td><td>EAL4+<br>ADV_IMP.2</td><td>2010-01-0', s_suppkey % 9 + 1,
         '</td><td>2015-01-01</td><td>DE</td><td><a href="/r/', s_suppkey, '">r</a></td></tr>')"""
-    html = _page(_read(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", line, "'<table id=tblOS><thead><tr><th>Profile</th></tr></thead><tbody>'", "</tbody></table>")
+    html = _page(_read(spark, sf_dir, "supplier"), "concat(s_nationkey, '-', s_suppkey div 1000)", "s_suppkey", line, "'<table id=tblOS><thead><tr><th>Profile</th></tr></thead><tbody>'", "</tbody></table>")
     x = pages.profiles(pages.rows(html, "page", "html"), BASE, "archived")
     return x.select("key", "category", "status", "name", "version", F.array_join("security_level", ",").alias("security_level"), F.date_format("not_valid_before", "yyyy-MM-dd").alias("valid_from"), F.date_format("not_valid_after", "yyyy-MM-dd").alias("valid_to"), "report_link", "pp_link", "scheme")
 
@@ -61,7 +61,7 @@ def capability_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as validations of a nation's product page, with one environment and two capabilities each."""
     line = """concat('<form method="get"><h4><a href="details?validation=', s_suppkey, '">SHS #', s_suppkey, '</a></h4><table><tr><th>OE</th></tr><tr><td>', if(s_suppkey % 3 = 0, 'N/A', concat('Linux ', s_suppkey % 5)), ' Expand </td>
         <td><a href="/Validation-Notes#a">SHA-', s_suppkey % 4, ':</a> <a href="/other">no</a> <a href="/Validation-Notes#b">SHA-9:</a></td></tr></table></form>')"""
-    html = _page(_read(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", line, "'<h1>Product</h1>'", "")
+    html = _page(_read(spark, sf_dir, "supplier"), "concat(s_nationkey, '-', s_suppkey div 1000)", "s_suppkey", line, "'<h1>Product</h1>'", "")
     return pages.capabilities(pages.rows(html, "page", "html"))
 
 
@@ -135,16 +135,16 @@ _Q = (product_pages, profile_pages, algorithm_pages, capability_pages, module_pa
 QUERIES = {f.__name__: f for f in _Q}
 
 ORACLE_SQL = {
-    "product_pages": f"""SELECT cast(p_size AS varchar) AS key, 'ICs, Smart Cards and Smart Card-Related Devices and Systems' AS category, p_name AS name, p_brand AS manufacturer, concat('http://v', p_partkey) AS manufacturer_web, p_type AS scheme,
+    "product_pages": f"""SELECT concat(p_size, '-', p_partkey // 1000) AS key, 'ICs, Smart Cards and Smart Card-Related Devices and Systems' AS category, p_name AS name, p_brand AS manufacturer, concat('http://v', p_partkey) AS manufacturer_web, p_type AS scheme,
         concat('ALC_FLR.', p_partkey % 3, ',EAL', p_partkey % 7 + 1) AS security_level, cast(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS integer) AS n_profiles, concat('2019-0', p_partkey % 9 + 1, '-11') AS valid_from,
         CASE WHEN p_partkey % 4 <> 0 THEN '2024-10-05' END AS valid_to, concat('{BASE}/files/', p_partkey, '.pdf') AS report_link, concat('{BASE}/st/', p_partkey, '.pdf') AS st_link, concat('{BASE}/c/', p_partkey) AS cert_link,
         CASE WHEN p_partkey % 3 = 0 THEN concat('Update & fix ', p_partkey) END AS maintenance_title, CASE WHEN p_partkey % 3 = 0 THEN concat('{BASE}/m/', p_partkey) END AS maintenance_link, CASE WHEN p_partkey % 3 = 0 THEN '2020-02-03' END AS maintained FROM part""",
-    "profile_pages": f"""SELECT cast(s_nationkey AS varchar) AS key, 'Operating Systems' AS category, 'archived' AS status, s_name AS name, concat('1.', s_suppkey) AS version, 'ADV_IMP.2,EAL4+' AS security_level, concat('2010-01-0', s_suppkey % 9 + 1) AS valid_from,
+    "profile_pages": f"""SELECT concat(s_nationkey, '-', s_suppkey // 1000) AS key, 'Operating Systems' AS category, 'archived' AS status, s_name AS name, concat('1.', s_suppkey) AS version, 'ADV_IMP.2,EAL4+' AS security_level, concat('2010-01-0', s_suppkey % 9 + 1) AS valid_from,
         '2015-01-01' AS valid_to, concat('{BASE}/r/', s_suppkey) AS report_link, concat('{BASE}/pp/', s_suppkey, '.pdf') AS pp_link, 'DE' AS scheme FROM supplier WHERE s_suppkey % 7 <> 0""",
     "algorithm_pages": """SELECT cast(o_custkey AS varchar) AS key, 'AES' AS algorithm_type, cast(o_orderkey AS varchar) AS alg_number, coalesce('Vendor ' || h, '') AS vendor, coalesce('Lib ' || h, '') AS implementation_name,
         cast(h + 7 AS varchar) AS product_id, strftime(o_orderdate, '%Y-%m-%d') AS validated
         FROM (SELECT *, max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS h FROM orders) t""",
-    "capability_pages": """SELECT cast(s_nationkey AS varchar) AS key, 'SHS' AS algorithm_type, cast(s_suppkey AS varchar) AS alg_number, c AS capability, CASE WHEN s_suppkey % 3 <> 0 THEN concat('Linux ', s_suppkey % 5) END AS environment
+    "capability_pages": """SELECT concat(s_nationkey, '-', s_suppkey // 1000) AS key, 'SHS' AS algorithm_type, cast(s_suppkey AS varchar) AS alg_number, c AS capability, CASE WHEN s_suppkey % 3 <> 0 THEN concat('Linux ', s_suppkey % 5) END AS environment
         FROM (SELECT s_suppkey, s_nationkey, concat('SHA-', s_suppkey % 4) AS c FROM supplier UNION ALL SELECT s_suppkey, s_nationkey, 'SHA-9' FROM supplier) t""",
     "module_pages": f"""SELECT cast(c_custkey AS varchar) AS key, c_name AS module_name, 'active' AS status, cast(c_custkey % 4 + 1 AS integer) AS level, '2026-09-21' AS sunset, 'Software-Hybrid' AS module_type, 'Multi-Chip Stand Alone' AS embodiment,
         concat(c_custkey, ':2') AS mentioned, concat('Roles: ', c_mktsegment, '|EMI') AS exceptions, cast(NULL AS varchar) AS tested, concat('AES#', c_custkey, '|AES#A ', c_custkey + 1) AS algorithms,

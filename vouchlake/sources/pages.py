@@ -182,13 +182,18 @@ def rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             for k, text in zip(batch["key"].to_pylist(), batch["html"].to_pylist(), strict=True):
                 page = _Rows()
                 page.feed(text or "")
                 page.close()
-                if page.out:
-                    yield pa.RecordBatch.from_pylist([dict(zip(fields, r, strict=True), key=k) for r in page.out], schema)
+                held += [dict(zip(fields, r, strict=True), key=k) for r in page.out]
+                if len(held) >= 2000:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
 
     return pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html")).mapInArrow(run, _ROWS)
 
@@ -296,12 +301,14 @@ def modules(found: DataFrame, base: str = "") -> DataFrame:
     """One row a module page, from `rows`: labelled details of the first panel as columns,
     the vendor of the second, the certificate of the third, the history of the fourth."""
     of = F.create_map(*[F.lit(x) for pair in MODULE_LABELS.items() for x in pair])
-    label, value = of[F.array_join(_cell(0).strings, " ")], _cell(1)
-    plain = F.array_join(value.strings, " ")
-    listed = F.transform(value["items"], lambda i: i.text)
-    mine = (F.col("panel") == 0) & (F.col("kind") == "div") & label.isNotNull()
-    text = lambda name: F.max(F.when(mine & (label == name), plain)).alias(name)
-    many = lambda name: F.max(F.when(mine & (label == name) & ~((F.size(listed) == 1) & F.array_contains(listed, "N/A")), listed)).alias(name)
+    value, whole = _cell(1), F.array_join(_cell(0).strings, " ")
+    # label and value of a detail are worked out once a row, not once a column
+    detail = (F.col("panel") == 0) & (F.col("kind") == "div")
+    found = found.withColumn("label", F.when(detail, of[whole])).withColumn("plain", F.when(F.col("label").isNotNull(), F.array_join(value.strings, " ")))
+    found = found.withColumn("listed", F.when(F.col("label").isin("exceptions", "tested_conf"), F.transform(value["items"], lambda i: i.text)))
+    label, listed, mine = F.col("label"), F.col("listed"), F.col("label").isNotNull()
+    text = lambda name: F.max(F.when(label == name, F.col("plain"))).alias(name)
+    many = lambda name: F.max(F.when((label == name) & ~((F.size(listed) == 1) & F.array_contains(listed, "N/A")), listed)).alias(name)
     certificate = F.get(F.filter(F.flatten(F.transform("cells", lambda c: c.links)), lambda x: x.text.contains("Certificate")), F.lit(0)).href
     maker = F.get(F.flatten(F.transform("cells", lambda c: c.links)), F.lit(0))
     # algorithms are rows of a table, numbers in their second cell, or divisions of name and number
