@@ -226,9 +226,47 @@ def cpe_cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade_match(products, dictionary)
 
 
+def _lcs(a: str, b: str) -> str:
+    """SQL of the longest common subsequence's length, row by row of the usual table."""
+    codes = lambda x: f"list_transform(range(1, length({x}) + 1), lambda i: [ascii(substr({x}, i, 1))::BIGINT])"
+    start = f"[list_transform(range(0, length({b}) + 1), lambda i: 0::BIGINT)]"
+    cell = f"CASE WHEN c[1] = ascii(substr({b}, j[1], 1)) THEN old[j[1]] + 1 ELSE greatest(old[j[1] + 1], new[-1]) END"
+    line = f"list_reduce([[0::BIGINT]] || list_transform(range(1, length({b}) + 1), lambda k: [k]), lambda new, j: list_append(new, {cell}))"
+    return f"list_reduce({start} || {codes(a)}, lambda old, c: {line})[-1]"
+
+
+def _sql_ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0e0 ELSE 200e0 * {_lcs(a, b)} / (length({a}) + length({b})) END"
+
+
+#: Of pairs x (k, a, b): their sorted words, the words of both, and of either alone.
+_WORDS = """SELECT *, list_sort(string_split_regex(lower(a), '\\s+')) AS wa, list_sort(string_split_regex(lower(b), '\\s+')) AS wb FROM x"""
+_SIDES = f"""SELECT *, array_to_string(wa, ' ') AS sa, array_to_string(wb, ' ') AS sb, array_to_string(list_sort(list_filter(list_distinct(wa), lambda w: list_contains(wb, w))), ' ') AS c,
+    array_to_string(list_sort(list_filter(list_distinct(wa), lambda w: NOT list_contains(wb, w))), ' ') AS l, array_to_string(list_sort(list_filter(list_distinct(wb), lambda w: NOT list_contains(wa, w))), ' ') AS r FROM ({_WORDS})"""
+_RATED = f"""SELECT *, CASE WHEN c = '' THEN {_sql_ratio("l", "r")} WHEN l = '' OR r = '' THEN 100e0
+    ELSE greatest({_sql_ratio("cl", "cr")}, {_sql_ratio("c", "cl")}, {_sql_ratio("c", "cr")}) END AS set_ratio FROM (SELECT *, trim(c || ' ' || l) AS cl, trim(c || ' ' || r) AS cr FROM ({_SIDES}))"""
 QUERIES = {f.__name__: f for f in (fuzzy_pairs_score, name_ratios, greedy_assignment_brands, cpe_cascade_match)}
 ORACLE_SQL = {
     "fuzzy_pairs_score": """
         SELECT a.p_partkey, round(100.0e0 * (1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))), 6) AS score
         FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey""",
+    # names are few, so that each pair of them is rated once
+    "name_ratios": f"""
+        WITH n AS (SELECT a.p_partkey AS k, a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey), x AS (SELECT DISTINCT a, b FROM n), y AS ({_RATED})
+        SELECT k AS p_partkey, round({_sql_ratio("n.a", "n.b")}, 6) AS ratio, round({_sql_ratio("sa", "sb")}, 6) AS sort_ratio, round(set_ratio, 6) AS set_ratio FROM n JOIN y USING (a, b)""",
+    # the pairs of a group in order, each taken unless one of its sides is taken
+    "greedy_assignment_brands": """
+        WITH e AS (SELECT concat(a.p_brand, '|', a.p_size) AS g, a.p_partkey AS l, b.p_partkey AS r, round(100 - abs(a.p_retailprice - b.p_retailprice), 4) AS score
+                   FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1),
+        o AS (SELECT g, list({'l': l, 'r': r, 'score': score} ORDER BY score DESC, l, r) AS pairs FROM e WHERE score >= 0 GROUP BY 1),
+        t AS (SELECT g, unnest(list_reduce(list_transform(pairs, lambda p: [p]), lambda had, p: CASE WHEN len(list_filter(had, lambda h: h.l = p[1].l OR h.r = p[1].r)) > 0 THEN had ELSE list_concat(had, p) END)) AS p FROM o)
+        SELECT g AS "group", p.l AS l, p.r AS r, p.score AS score FROM t""",
+    "cpe_cascade_match": f"""
+        WITH d AS (SELECT concat_ws(':', p_brand, p_name) AS key, p_brand AS v, p_name AS title, CASE WHEN min(p_size) % 2 = 0 THEN '-' ELSE min(p_size)::VARCHAR END AS version FROM part GROUP BY 2, 3),
+        x AS (SELECT a.n AS a, b.n AS b FROM (SELECT DISTINCT p_name AS n FROM part) a, (SELECT DISTINCT p_name AS n FROM part) b), y AS ({_RATED}),
+        one AS (SELECT p_partkey AS id, key, set_ratio AS score, 1 AS step FROM part JOIN d ON v = p_brand AND version = p_size::VARCHAR JOIN y ON a = p_name AND b = title WHERE set_ratio >= 92),
+        two AS (SELECT p_partkey AS id, key, 100e0 AS score, 2 AS step FROM part JOIN d ON v = p_brand AND version = '-' JOIN y ON a = p_name AND b = title
+                WHERE p_partkey NOT IN (SELECT id FROM one) AND (l = '' OR r = '')),
+        z AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, key DESC) AS n FROM (SELECT * FROM one UNION ALL SELECT * FROM two))
+        SELECT id, key, round(score, 4) AS score, step FROM z WHERE n <= 99""",
 }
