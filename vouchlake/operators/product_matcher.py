@@ -244,7 +244,18 @@ def product_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ProductMatcher().fit(p.selectExpr(f"{uri} uri", f"{title} title")).predict(products)
 
 
-QUERIES = {"product_matches": product_matches}
+def dictionary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as dictionary entries with and without titles, versions and digits: which say too little, and which items are too short."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "p_partkey k", "case p_partkey % 4 when 0 then null when 1 then '' when 2 then p_name else concat(p_name, ' ', p_size) end title",
+        "case p_partkey % 3 when 0 then substr(p_name, 1, 1 + p_partkey % 5) when 1 then concat('item', p_size) else p_type end item",
+        "case p_partkey % 5 when 0 then '-' when 1 then '*' else concat(p_size, '.0') end version", "case p_partkey % 7 when 0 then 'rc1' when 1 then 'rc' when 2 then 'rc123' when 3 then 'src1' else '*' end update",
+    )
+    weak = weak_entry(F.concat(F.lit("cpe:"), F.col("k")), F.col("title"), F.col("item"), F.col("version"), F.col("update"))
+    return p.select("k", weak.alias("weak"), (F.length("item") < LEAST_ITEM).alias("short"))
+
+
+QUERIES = {"product_matches": product_matches, "dictionary_filter": dictionary_filter}
 _STEP = "CASE c WHEN 0 THEN 1 WHEN 5 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END"
 ORACLE_SQL = {
     "product_matches": f"""
@@ -253,4 +264,8 @@ ORACLE_SQL = {
         FROM (SELECT p_partkey AS k, p_partkey % 8 AS c, (p_partkey % 40 + 1) || '.' || p_partkey % 7 AS version,
                      'z' || translate(p_partkey::VARCHAR, '0123456789', 'abcdefghij') || 'ware' AS word FROM part)
         WHERE c IN (0, 1, 2, 5)""",
+    "dictionary_filter": """
+        WITH e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 < 2 THEN NULL ELSE p_name END AS title, p_partkey % 4 = 3 AS numbered, p_partkey % 3 AS i, p_name, p_type,
+                          p_partkey % 5 < 2 AS bare, p_partkey % 7 < 2 AS candidate FROM part)
+        SELECT k, candidate OR (bare AND NOT numbered AND (title IS NOT NULL OR i <> 1)) AS weak, i = 0 AND k % 5 < 3 AS short FROM e""",
 }
