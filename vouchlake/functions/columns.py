@@ -287,6 +287,7 @@ NO_CERTIFICATES = ("rsa", "shs", "dsa", "pkcs", "aes")
 
 def mentioned_certificates(caveat: Column) -> Column:
     """Map of the certificate numbers a caveat names to how often it does; null stays null."""
+    #: Fixed value: how a caveat names a certificate.
     p = r"(\w+)?\s?(?:#\s?|Cert\.?(?!.\s)\s?|Certificate\s?)+(\d+)"
     found = F.arrays_zip(F.regexp_extract_all(caveat, F.lit(p), F.lit(1)).alias("word"), F.regexp_extract_all(caveat, F.lit(p), F.lit(2)).alias("id"))
     ids = F.transform(F.filter(found, lambda m: ~F.lower(m["word"]).isin(*NO_CERTIFICATES)), lambda m: m["id"])
@@ -309,6 +310,7 @@ def pages_with_tables(text: Column) -> Column:
     or algorithms; otherwise the pages of lines that begin with `Table ` or `Exhibit`, each
     with its neighbours (page 1 not as a neighbour), without the first one at or after the last page.
     """
+    #: How a policy lists its tables, and those of functions or algorithms.
     listed = F.regexp_extract(text, r"(?m)^(?:[Tt]able\s|[Ll]ist\s)[Oo]f\s[Tt]ables[\s\S]+?\f", 0)
     given = F.regexp_extract_all(listed, F.lit(r"(?m)^.+?(?:[Ff]unction|[Aa]lgorithm|[Ss]ecurity [Ff]unctions?).+?(\d+)$"), F.lit(1))
     begin = F.struct(F.lit(1).alias("page"), F.array().cast("array<int>").alias("hits"))
@@ -333,12 +335,14 @@ def first_level(text: Column) -> Column:
 
 def first_link(text: Column) -> Column:
     """The first web address of a text; empty where there is none, also for null."""
+    #: Fixed value: a web address.
     return F.coalesce(F.regexp_extract(text, r"https?://[a-zA-Z0-9./\-_]+", 0), F.lit(""))
 
 
 def packages(text: Column) -> Column:
     """Map of each level of a text to the components named after it, up to the next level;
     of a level that comes twice the last counts."""
+    #: A level, and below a component.
     level = r"\bEAL\s*\d+\b"
     names = F.transform(F.regexp_extract_all(text, F.lit(level), F.lit(0)), lambda n: F.replace(n, F.lit(" "), F.lit("")))
     after = F.slice(F.split(text, level), F.lit(2), F.size(names))

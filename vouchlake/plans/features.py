@@ -27,6 +27,32 @@ def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("k", cert_ids.canonical(raw, scheme).alias("cert_id"))
 
 
+#: An id of each scheme as reports spell it, and in its scheme's form; n has two digits, m four, y is a year.
+SPELLINGS = [
+    ("DE", "concat('BSI_DSZ_CC_', m, '_', y, '_MA_', n)", "concat('BSI-DSZ-CC-', m, '-', y, '-MA_', n)"),
+    ("FR", "concat('ANSSI-CC ', y, '_', n, '-M01')", "concat('ANSSI-CC-', y, '/', n, '-M01')"),
+    ("NL", "concat('CC-22-', m)", "concat('NSCIB-CC-22-', m, '-CR')"), ("NO", "concat('SERTIT-', n)", "concat('SERTIT-0', n)"),
+    ("US", "concat('CCEVS-VR-VID', m, '-2008')", "concat('CCEVS-VR-VID-', m, '-2008')"), ("CA", "concat(m, ' EWA ', y)", "concat(m, '-EWA-', y)"),
+    ("UK", "concat('CERTIFICATION REPORT No. P', m)", "concat('CRP', m)"), ("ES", "concat(y, '-', n, '-INF-', m, '-v1')", "concat(y, '-', n, '-INF-', m)"),
+    ("KR", "concat('KECS-CISS-', n, '-2023')", "concat('KECS-CISS-00', n, '-2023')"), ("JP", "concat('Certification No. C0', m)", "concat('JISEC-CC-CRP-C0', m)"),
+    ("MY", "concat('ISCB-3-RPT-C0', n, '-CR-1-V1a')", "concat('ISCB-3-RPT-C0', n, '-CR-v1a')"), ("IT", "concat('OCSI/CERT/TEC/', n, '/2009/RC')", "concat('OCSI/CERT/TEC/', n, '/2009/RC')"),
+    ("TR", "concat('21.0.03/TSE-CCCS-', n)", "concat('21.0.03/TSE-CCCS-', n)"), ("SE", "concat('CSEC 2010', n)", "concat('CSEC20100', n)"),
+    ("IN", "concat('IC3S/KOL01/ADVA/EAL2/', m, '/0021 /CR')", "concat('IC3S/KOL01/ADVA/EAL2/', m, '/0021')"), ("SG", "concat('CSA_CC_210', n)", "concat('CSA_CC_210', n)"),
+    ("AU", "concat('Certification Report 97/', n)", "concat('Certificate Number: 1997/', n)"), ("PL", "concat(n, '/PC1/AC223/', y)", "concat(n, '/PC1/AC223/', y)"),
+]
+
+
+def _spelled(at: int) -> str:
+    return "CASE k % 18 " + " ".join(f"WHEN {i} THEN {row[at]}" for i, row in enumerate(SPELLINGS)) + " END"
+
+
+def canonical_ids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all eighteen schemes, spelled as reports do, in their schemes' form."""
+    ids = _orders(spark, sf_dir).selectExpr("k", "k % 89 + 10 n", "k % 9000 + 1000 m", "k % 20 + 2000 y")
+    scheme = F.expr(f"element_at(array({', '.join(repr(r[0]) for r in SPELLINGS)}), cast(k % 18 + 1 AS int))")
+    return ids.select("k", scheme.alias("scheme"), cert_ids.canonical(F.expr(_spelled(1)), scheme).alias("cert_id"))
+
+
 def id_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines vote for an id of their order: four sources, five ids in two spellings."""
     source = F.expr("element_at(array('frontpage', 'metadata', 'filename', 'keywords'), l_linenumber % 4 + 1)")
@@ -268,7 +294,7 @@ def verified_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _Q = (
-    canonical_ids, id_vote, level_floor, title_versions, platform_filter, version_pairs, published_while_valid, configured_vulnerabilities, requirement_resolution, actual_requirements,
+    canonical_ids, canonical_ids_all, id_vote, level_floor, title_versions, platform_filter, version_pairs, published_while_valid, configured_vulnerabilities, requirement_resolution, actual_requirements,
     rule_counts, many_rule_counts, rule_matrix, rule_sums, reference_edges, archival_dates, status_lines, plain_vendors, plain_contacts, dictionary_parts, soft_votes,
     stripped_names, spaced_texts, level_packages, written_out, host_names, vendor_matches, label_shapes,
     security_packages, front_pages, label_crosstab, label_report, prediction_counts, verified_labels,
@@ -302,6 +328,8 @@ ORACLE_SQL = {
         SELECT p_partkey AS dgst, (SELECT string_agg(uri, ',' ORDER BY uri) FROM u WHERE k = p_partkey) AS verified_uris FROM part""",
     "canonical_ids": """SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN concat('BSI-DSZ-CC-', o_orderkey % 9000 + 1000, '-V2-', o_orderkey % 20 + 2000) WHEN 1 THEN concat('ANSSI-CC-200', o_orderkey % 9 + 1, '/', o_orderkey % 50 + 10)
         WHEN 2 THEN concat('CSEC20190', o_orderkey % 89 + 10) WHEN 3 THEN concat('KECS-NISS-00', o_orderkey % 89 + 10, '-2017') WHEN 4 THEN concat('Certificate Number: 2006/', o_orderkey % 89 + 10) ELSE concat('report ', o_orderkey) END AS cert_id FROM orders""",
+    "canonical_ids_all": f"""SELECT k, ([{', '.join(repr(r[0]) for r in SPELLINGS)}])[k % 18 + 1] AS scheme, {_spelled(2)} AS cert_id
+        FROM (SELECT o_orderkey AS k, o_orderkey % 89 + 10 AS n, o_orderkey % 9000 + 1000 AS m, o_orderkey % 20 + 2000 AS y FROM orders)""",
     "id_vote": """WITH c AS (SELECT l_orderkey AS dgst, l_linenumber % 4 AS source, concat('SERTIT-00', l_partkey % 5) AS cert_id, l_quantity / max(l_quantity) OVER (PARTITION BY l_orderkey, l_linenumber % 4) AS share FROM lineitem),
         v AS (SELECT dgst, cert_id, round(sum(share * CASE source WHEN 0 THEN 1.5e0 WHEN 1 THEN 1.2e0 ELSE 1e0 END), 9) AS weight FROM c GROUP BY 1, 2)
         SELECT dgst, cert_id, weight FROM (SELECT *, row_number() OVER (PARTITION BY dgst ORDER BY weight DESC, length(cert_id) DESC, cert_id DESC) AS rn FROM v) t WHERE rn = 1""",
