@@ -66,8 +66,7 @@ def test_backtracking_gives_what_merging_one_by_one_gives():
 
 def test_the_cache_is_bounded_in_bytes(monkeypatch):
     monkeypatch.setattr(piece_bpe, "CACHE_BYTES", 2000)
-    monkeypatch.setattr(piece_bpe, "PAIRS", 50)
-    encoder, sp = piece_bpe.PieceEncoder(PIECES), library()
+    encoder, sp = piece_bpe.PieceEncoder(PIECES, 50), library()
     for t in texts()[2:]:
         assert np.frombuffer(encoder.encode([t])[0], np.int32).tolist() == sp.encode(t)
         assert len(encoder.pairs) <= 51

@@ -75,7 +75,7 @@ class Aligner:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        self.a, self.b = Tokenizer.from_file(a_path), PieceEncoder(b_path)
+        self.a, self.b = Tokenizer.from_file(a_path), PieceEncoder(b_path, 100_000)
         self.a.encode_special_tokens = True
         byte = set(byte_symbols())
         vocab = self.a.get_vocab()
@@ -204,6 +204,7 @@ def _packed(rows: DataFrame) -> DataFrame:
                 stream.write_table(pa.concat_tables(held).select(_PACKED.names).cast(_PACKED))
             return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["block", "packed"])
 
+        _aligner.cache_clear()  # this worker aligns no more
         held: list[pa.Table] = []
         now = None
         for batch in batches:
@@ -227,6 +228,7 @@ _OUT = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups",
 
 
 def _compose(docs: pa.Table, packed: pa.Table) -> pa.Table:
+    _aligner.cache_clear()
     tables = [pa.ipc.open_stream(b).read_all() for b in packed.column("packed").to_pylist()]
     segments = (pa.concat_tables(tables) if tables else _PACKED.empty_table()).sort_by("code")
     n_a, n_b, n_groups, n_best, count_sum = (segments.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum"))
@@ -251,7 +253,7 @@ def align_tokens(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str)
     scratch = Scratch(spark, "alignment")
     small_batches(spark, 256)  # whole texts
     parts = scratch.cut(_parts(docs, unsafe_spaces(a_path, b_path)), "parts", "zstd")
-    small_batches(spark, 20_000)  # segments
+    small_batches(spark, 5_000)  # segments
     members = parts.where("code is not null").select("block", "code", "segment", "n")
     distinct = members.groupBy("segment").agg(F.sum("n").alias("n"))
     aligned = scratch.cut(_aligned(distinct, a_path, b_path), "aligned", "zstd")
