@@ -122,7 +122,7 @@ def aligned_one_by_one(rows):
     return sorted((d, na, nb, ng, len(links), sum(counts[x] == best[x[1]] for x in links), sum(counts[x] for x in links), g) for d, na, nb, ng, links, g in per)
 
 
-@pytest.mark.parametrize(("block", "hot"), [(2000, 3), (16 << 20, 20_000)])
+@pytest.mark.parametrize(("block", "hot"), [(2000, 3), (20 << 20, 20_000)])
 def test_alignment_of_awkward_texts(spark, docs, monkeypatch, block, hot):
     monkeypatch.setattr(token_alignment, "BLOCK_BYTES", block)
     monkeypatch.setattr(token_alignment, "HOT", hot)

@@ -9,6 +9,7 @@ be invisible to the other machines.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,11 @@ class Scratch:
         df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of jobs that are over: it follows the driver's garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete staged tables; their DataFrames must not be used again."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

@@ -42,7 +42,7 @@ from vouchlake.llm.piece_bpe import SPACE, PieceEncoder, PieceVocabulary
 from vouchlake.llm.scratch import Scratch, small_batches
 from vouchlake.llm.token_count import SPACE as WHITE
 
-BLOCK_BYTES, HOT, B_BITS = 16 << 20, 20_000, 20
+BLOCK_BYTES, HOT, B_BITS = 20 << 20, 20_000, 20
 _PARTS = "block long, doc_id long, codes array<int>, code int, segment string, n long"
 _ALIGNED = "segment string, n long, n_a int, n_b int, n_groups int, groups string, links array<long>"
 _PACKED = pa.schema([("code", pa.int32()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("n_groups", pa.int32()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups", pa.string())])
@@ -257,11 +257,13 @@ def align_tokens(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str)
     members = parts.where("code is not null").select("block", "code", "segment", "n")
     distinct = members.groupBy("segment").agg(F.sum("n").alias("n"))
     aligned = scratch.cut(_aligned(distinct, a_path, b_path), "aligned", "zstd")
+    scratch.settle()
     pairs = scratch.cut(pair_counts(aligned), "pairs")
     joined = members.drop("n").join(aligned.drop("n", "links"), "segment").join(_link_sums(aligned, pairs), "segment")
     rows = joined.select("block", *_PACKED.names).sortWithinPartitions("block")
     packed = scratch.cut(_packed(rows), "packed")
     scratch.drop("aligned", "pairs")
+    scratch.settle()
     whole = parts.where("code is null").select("block", "doc_id", "codes")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     return whole.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_compose, schema)
