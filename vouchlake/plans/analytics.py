@@ -100,12 +100,16 @@ PLANS: dict[str, str | tuple[str, str]] = {
             cast(4 - len(list_intersect(list_distinct(w), ['the', 'and', 'que', 'der'])) AS integer) AS n_missing, cast(len(list_distinct(list_concat(w, ['the', 'and', 'que', 'der']))) AS integer) AS n_union
             FROM (SELECT doc_id, {_TOKENS[1]} AS w FROM documents WHERE text IS NOT NULL) t""",
     ),
-    # multiset overlap of character pairs between neighbours, from grouped counts
+    # multiset overlap of character pairs between neighbours; a part's pairs are counted once for
+    # itself and once for the part before it, so that counts meet by
+    # grouping and nothing is broadcast; dealt before they are counted, as few tasks read the table
     "ngram_overlap": (
-        """SELECT a.p_partkey, cast(sum(least(a.n, b.n)) AS bigint) AS overlap FROM
-           (SELECT p_partkey, g, count(*) AS n FROM (SELECT p_partkey, explode(transform(sequence(1, greatest(1, length(p_name) - 1)), i -> substr(p_name, i, 2))) AS g FROM part) x GROUP BY 1, 2) a
-           JOIN (SELECT p_partkey, g, count(*) AS n FROM (SELECT p_partkey, explode(transform(sequence(1, greatest(1, length(p_name) - 1)), i -> substr(p_name, i, 2))) AS g FROM part) x GROUP BY 1, 2) b
-             ON a.p_partkey + 1 = b.p_partkey AND a.g = b.g GROUP BY 1""",
+        """SELECT p_partkey, cast(sum(least(n, m)) AS bigint) AS overlap FROM
+           (SELECT p_partkey, g, count_if(own) AS n, count_if(NOT own) AS m FROM
+             (SELECT s.k AS p_partkey, g, s.own FROM
+               (SELECT p_partkey AS k, explode(transform(sequence(1, greatest(1, length(p_name) - 1)), i -> substr(p_name, i, 2))) AS g FROM part) x
+               LATERAL VIEW inline(array(struct(x.k AS k, true AS own), struct(x.k - 1 AS k, false AS own))) s WHERE s.k IS NOT NULL AND g IS NOT NULL DISTRIBUTE BY p_partkey) z GROUP BY 1, 2) y
+           WHERE n > 0 AND m > 0 GROUP BY 1""",
         """WITH c AS (SELECT p_partkey, g, count(*) AS n FROM (SELECT p_partkey, unnest(list_transform(range(1, greatest(1, length(p_name) - 1) + 1), lambda i: substr(p_name, i, 2))) AS g FROM part) GROUP BY 1, 2)
            SELECT a.p_partkey, cast(sum(least(a.n, b.n)) AS bigint) AS overlap FROM c a JOIN c b ON a.p_partkey + 1 = b.p_partkey AND a.g = b.g GROUP BY 1""",
     ),
