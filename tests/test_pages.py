@@ -56,3 +56,33 @@ def test_module_columns(spark):
     rows = [("software-hybrid", "Multi-chip  standalone", "Cert. #5, AES Cert. #7 and Certificate 5", "Table 1\n\f\nx\f\n"), (None, None, None, None), ("", "Other", "", "")]
     d = spark.createDataFrame(rows, "t string, e string, c string, p string").select(columns.module_type(F.col("t")), columns.embodiment(F.col("e")), columns.mentioned_certificates(F.col("c")), columns.pages_with_tables(F.col("p")))
     assert [tuple(r) for r in d.collect()] == [("Software-Hybrid", "Multi-Chip Stand Alone", {"5": 2}, [1, 2]), (None, None, None, None), ("", "Other", {}, [])]
+
+
+def test_plain_pages_are_read_as_fed_ones():
+    import random
+
+    rnd, plain = random.Random(5), 0
+    bits = ['<table id="t">', "</table>", "<tr>", "</tr>", '<td class="x mip">', "</td>", "<th>", "a &amp; b", "&lt", "x", "<br>", '<a href="/a?b=1&amp;c=2">', "</a>", '<div class="row padrow">', '<DIV CLASS="col-md-9" id="S1">', "</div>", "<li>", "</li>", "<h4>", "</h4>", "<tbody>", " \n "]
+    odd = ["<br/>", "<!-- c -->", "<td id=5>", "a < b", "<p", "<script>", "</script>", '<a href="x>y">', "<td class='y'>", '<a href="&ampx">']
+    for i in range(1500):
+        html = "".join(rnd.choice(bits + odd * (i % 2)) for _ in range(rnd.randrange(1, 50)))
+        fed = pages._Rows()
+        fed.feed(html)
+        fed.close()
+        assert [r for some in pages._Rows().read(html) for r in some] == fed.out, html
+        plain += bool(pages._PLAIN.fullmatch(html))
+    assert 750 <= plain < 1400
+
+
+def test_long_pages_are_handed_on_in_parts():
+    html = "<table><tbody>" + "<tr><td>a</td><td>b</td></tr>" * 5000 + "</tbody></table>"
+    parts = list(pages._Rows().read(html))
+    assert max(map(len, parts)) <= 1000 and [r[6] for p in parts for r in p] == list(range(5000))
+
+
+@pytest.mark.parametrize("name", ["module_pages", "key_value_pages"])
+def test_pages_of_a_small_file_are_dealt(spark, name):
+    from vouchlake.plans import pages as plans
+
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(c_custkey" in plan[plan.index("MapInArrow"):]

@@ -16,6 +16,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _dealt(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out before each becomes a page: a small file is read by one task, whatever its pages come to."""
+    return rows.repartition(max(48, 2 * spark.sparkContext.defaultParallelism), key)
+
+
 def _page(lines: DataFrame, by: str, order: str, line: str, before: str, after: str) -> DataFrame:
     """(page, html): the lines of a page in order, between two fixed texts."""
     held = F.array_sort(F.collect_list(F.struct(F.expr(order).alias("at"), F.expr(line).alias("line"))))
@@ -78,7 +83,7 @@ def module_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     vendor = "'<div class=\"row padrow\"><div class=\"col-md-12\">', " + maker + ", '</div></div>'"
     files = "'<div class=\"row padrow\"><div class=\"col-md-12\"><a href=\"/p\">Policy</a><a href=\"/cert/', c_custkey, '\">Certificate</a></div></div>'"
     history = "'<table><thead><tr><th>Date</th></tr></thead><tbody><tr><td>2/3/2020</td><td>Initial</td><td>Lab ', c_nationkey, '</td></tr><tr><td>4/5/2021</td><td>Update</td><td>LAB</td></tr></tbody></table>'"
-    html = _read(spark, sf_dir, "customer").select("c_custkey", F.expr(f"concat({panel(*details)}, {panel(vendor)}, {panel(files)}, {panel(history)})").alias("html"))
+    html = _dealt(spark, _read(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.expr(f"concat({panel(*details)}, {panel(vendor)}, {panel(files)}, {panel(history)})").alias("html"))
     x = pages.modules(pages.rows(html, "c_custkey", "html"), BASE)
     ids = F.array_sort(F.transform(F.map_entries("mentioned_certs"), lambda m: F.concat_ws(":", m["key"], m["value"].cast("string"))))
     return x.select(
@@ -118,7 +123,7 @@ def process_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def key_value_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as certificate pages of labels and values; a label that comes twice counts once."""
-    html = _read(spark, sf_dir, "customer").select("c_custkey", F.expr("""concat('<table><tr><td>Name:</td><td>', c_name, '</td></tr><tr><td>Unknown</td><td>1</td></tr><tr><th>Holder</th><td>', if(c_custkey % 3 = 0, '', c_mktsegment),
+    html = _dealt(spark, _read(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.expr("""concat('<table><tr><td>Name:</td><td>', c_name, '</td></tr><tr><td>Unknown</td><td>1</td></tr><tr><th>Holder</th><td>', if(c_custkey % 3 = 0, '', c_mktsegment),
         '</td></tr><tr><td>Name:</td><td>again</td></tr></table>')""").alias("html"))
     return pages.key_values(pages.rows(html, "c_custkey", "html"), {"Name": "name", "Holder": "holder"})
 
