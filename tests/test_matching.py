@@ -62,3 +62,27 @@ def test_cascade(spark):
     d = spark.createDataFrame([("k1", "v", "card os", "2.1"), ("k2", "v", "os card", "-"), ("k3", "v", "other", "2.1")], "key string, vendor string, title string, version string")
     assert sorted((r["id"], r["key"], r["step"]) for r in m.cascade_match(p, d).collect()) == [(1, "k1", 1), (2, "k2", 2)]
     assert m.cascade_match(p.limit(0), d).count() == 0
+
+
+@pytest.mark.parametrize("spread", [12, 90, 3000])
+def test_greedy_by_nearness_is_greedy_over_all_pairs(spark, spread):
+    rnd = random.Random(spread)
+    keys = rnd.sample(range(1000), 120)
+    rows = [(rnd.choice("xy"), k, rnd.randrange(spread) / 20) for k in keys]
+    left, right = [r for r in rows if r[1] % 2 == 0], [r for r in rows if r[1] % 2]
+    pairs = [(g, l, r, round(100 - abs(a - b), 4)) for g, l, a in left for h, r, b in right if g == h]
+    want, used = [], set()
+    for g, l, r, s in sorted(pairs, key=lambda p: (-p[3], p[1], p[2])):
+        if s >= 60 and not {l, r} & used:
+            used |= {l, r}
+            want.append((g, l, r, s))
+    a, b = spark.createDataFrame(left, "group string, l long, value double"), spark.createDataFrame(right, "group string, r long, value double")
+    assert sorted(map(tuple, m.greedy_by_nearness(a, b, 60.0).collect())) == sorted(want)
+    assert m.greedy_by_nearness(a.limit(0), b, 60.0).count() == 0
+
+
+def test_greedy_by_nearness_waits_for_a_tie(spark):
+    """10208 is as near to 13127 as to 8289, which has a nearer one that goes to another."""
+    values = {14007: 900.7, 5028: 902.8, 5123: 912.3, 13127: 912.7, 10208: 920.8, 8289: 928.9, 6318: 931.8, 5319: 931.9}
+    side = lambda odd, name: spark.createDataFrame([("g", k, v) for k, v in values.items() if k % 2 == odd], f"group string, {name} long, value double")
+    assert (10208, 8289) in {(r.l, r.r) for r in m.greedy_by_nearness(side(0, "l"), side(1, "r"), 0.0).collect()}

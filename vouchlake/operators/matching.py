@@ -6,6 +6,9 @@ match nothing. Scores lie between 0 and 100.
 
 from __future__ import annotations
 
+from collections import deque
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -164,6 +167,80 @@ def greedy_assignment(pairs: DataFrame, group: str, threshold: float) -> DataFra
     return taken
 
 
+#: Steps of a value that are told apart where values are compared by nearness.
+STEPS = 10_000
+
+
+def _run(rows: pd.DataFrame) -> pd.DataFrame:
+    """Greedy pairs by key inside a run of values an equal step apart, sides in turn."""
+    held = {at: deque(own["key"]) for at, own in rows.sort_values("key").groupby("at")}
+    sides = rows.groupby("at")["side"].first()
+    at_of = rows[rows["side"] == "l"].sort_values("key")[["key", "at"]]
+    won = []
+    for key, at in at_of.itertuples(index=False):
+        near = [held[o] for o in (at - 1, at + 1) if o in held and sides[o] == "r" and held[o]]
+        if near:
+            won.append((rows["group"].iloc[0], key, min(near, key=lambda q: q[0]).popleft()))
+    return pd.DataFrame(won, columns=["group", "l", "r"])
+
+
+def greedy_by_nearness(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """What `greedy_assignment` makes of all pairs of (group, l, value) and (group, r, value)
+    with score round(100 - |difference|, 4), without those pairs.
+
+    The best pair of all is next to each other among the values left. So a round takes all
+    neighbours that are each other's nearest: equal values first, then two values by rank of
+    their keys; runs of three or more values an equal step apart, whose ties are settled one
+    after the other, each in a task. Values must be multiples of a STEPSth and keys distinct.
+    """
+    of = lambda df, key: df.select("group", F.lit(key).alias("side"), F.col(key).cast("long").alias("key"), F.round(F.col("value") * STEPS).cast("long").alias("u"))
+    rest = cut(of(left, "l").union(of(right, "r")).where("group is not null and key is not null and u is not null"))
+    most, taken = int(round((100 - threshold) * STEPS)), []
+
+    def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+        """Pairs of the same rank of both sides."""
+        own = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "side").orderBy("key")))
+        side = lambda x: own.where(F.col("side") == x).select(*by, "rank", F.col("key").alias(x), F.col("u").alias(f"{x}_u"))
+        return side("l").join(side("r"), [*by, "rank"]).select("group", "l", "r", "l_u", "r_u")
+
+    def without(rows: DataFrame, won: DataFrame) -> DataFrame:
+        gone = won.select("group", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("key")), F.struct(F.lit("r").alias("side"), F.col("r").alias("key")))).alias("x")).select("group", "x.*")
+        return cut(rows.join(gone, ["group", "side", "key"], "left_anti"))
+
+    if most >= 0:
+        taken.append(cut(ranked(rest, ["group", "u"])))
+        rest = without(rest, taken[-1])
+    line = Window.partitionBy("group").orderBy("u")
+    up, down = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    while most >= 0:
+        # each value has one side now; its nearest of the other side, below and above
+        sides = rest.groupBy("group", "u").agg(F.min("side").alias("side"))
+        at = lambda x, w, pick: pick(F.when(F.col("side") == x, F.col("u")), ignorenulls=True).over(w)
+        other = lambda w, pick: F.when(F.col("side") == "l", at("r", w, pick)).otherwise(at("l", w, pick))
+        below, above = F.col("u") - other(up, F.last), other(down, F.first) - F.col("u")
+        gaps = sides.select("group", "u", "side", F.least(below, above).alias("gap"), F.coalesce(below == above, F.lit(False)).alias("tied")).where(F.col("gap") <= most)
+        joined = (F.lag("u").over(line) + F.col("gap") == F.col("u")) & (F.lag("gap").over(line) == F.col("gap")) & (F.lag("side").over(line) != F.col("side"))
+        linked = gaps.withColumn("linked", F.coalesce(joined, F.lit(False)))
+        # a value as near to one below as to one above waits until both have it as their nearest
+        waits = F.col("tied") & ~(F.col("linked") & F.lead("linked", 1, False).over(line))
+        runs = linked.withColumn("waits", waits).withColumn("run", F.sum((~F.col("linked")).cast("int")).over(line))
+        whole = Window.partitionBy("group", "run")
+        sized = runs.withColumn("size", F.when(~F.max("waits").over(whole), F.count("*").over(whole)).otherwise(0)).withColumn("at", F.row_number().over(whole.orderBy("u")))
+        # values out of reach of all others are left out for good
+        met = cut(rest.join(sized.select("group", "u", "run", "size", "at"), ["group", "u"]))
+        if met.isEmpty():
+            break
+        rest = met.select("group", "side", "key", "u")
+        two = ranked(met.where("size = 2"), ["group", "run"])
+        long = met.where("size > 2")
+        by_key = long.groupBy("group", "run").applyInPandas(_run, "group string, l long, r long")
+        value = lambda x: long.where(F.col("side") == x).select("group", F.col("key").alias(x), F.col("u").alias(f"{x}_u"))
+        taken.append(cut(two.union(by_key.join(value("l"), ["group", "l"]).join(value("r"), ["group", "r"]).select("group", "l", "r", "l_u", "r_u"))))
+        rest = without(rest, taken[-1])
+    none = rest.select("group", F.col("key").alias("l"), F.col("key").alias("r"), F.col("u").alias("l_u"), F.col("u").alias("r_u")).limit(0)
+    return reduce(DataFrame.union, taken or [none]).select("group", "l", "r", F.round(100 - F.abs(F.col("l_u") - F.col("r_u")) / STEPS, 4).alias("score"))
+
+
 def cascade_match(products: DataFrame, dictionary: DataFrame, most: int = 99, threshold: float = 92.0) -> DataFrame:
     """(id, key, score, step): dictionary names of the same vendor and version, at
     or over the threshold; where none, of any version marked '-' with exact score.
@@ -203,9 +280,14 @@ def fuzzy_pairs_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_assignment_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even parts assigned to odd ones of their brand and size, price likeness as the score."""
     p = _parts(spark, sf_dir).select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    l = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("l"), "p_brand", "p_size", F.col("p_retailprice").alias("a"))
-    r = p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("r"), "p_brand", "p_size", F.col("p_retailprice").alias("b"))
-    pairs = l.join(r, ["p_brand", "p_size"]).withColumn("group", F.concat_ws("|", "p_brand", "p_size")).withColumn("score", F.round(100 - F.abs(F.col("a") - F.col("b")), 4))
+    known = p.where("p_brand is not null and p_size is not null").select(F.concat_ws("|", "p_brand", "p_size").alias("group"), "p_partkey", F.col("p_retailprice").alias("value"))
+    l = known.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "l")
+    r = known.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "r")
+    fine = (F.round(F.col("value") * STEPS) / STEPS == F.col("value")) & (F.abs("value") < 1e9)
+    repeated = known.groupBy("p_partkey").count().where("count > 1")
+    if known.where("value is not null").where(~fine).isEmpty() and repeated.isEmpty():
+        return greedy_by_nearness(l, r, 0.0)
+    pairs = l.withColumnRenamed("value", "a").join(r.withColumnRenamed("value", "b"), "group").withColumn("score", F.round(100 - F.abs(F.col("a") - F.col("b")), 4))
     return greedy_assignment(pairs, "group", 0.0)
 
 
