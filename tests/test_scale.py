@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from vouchlake.plans import analytics, certificates
+from vouchlake.plans import analytics, certificates, features
 
 
 def _tables(folder, **tables):
@@ -31,3 +31,14 @@ def test_ngram_overlap_broadcasts_nothing(spark, tmp_path):
     got = analytics.QUERIES["ngram_overlap"](spark, folder)
     assert "Broadcast" not in _plan(got)
     _same(got, db.sql(analytics.ORACLE_SQL["ngram_overlap"]).fetchall())
+
+
+@pytest.mark.parametrize("name", ["labelled_graphs", "matching_precision", "id_vote"])
+def test_lines_are_dealt_before_they_are_counted(spark, name):
+    """The scan's few tasks hold no counts: the innermost aggregate stands over the exchange of lines."""
+    sf = "/root/testdata/sf0.001"
+    plan = (certificates.QUERIES | features.QUERIES)[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    # the lines' scan, then what stands over it
+    for at in (i for i, x in enumerate(plan) if "Scan parquet" in x and "l_orderkey" in x):
+        over = [x for x in reversed(plan[:at]) if "Exchange" in x or "Aggregate" in x or "Window" in x]
+        assert "Exchange" in over[0] and "REPARTITION_BY_NUM" in over[0], over[0]
