@@ -1,9 +1,11 @@
 """Plans whose exchanges, broadcasts and tasks must not grow with a small file's content."""
 
+import random
+
 import duckdb
 import pytest
 
-from vouchlake.operators import nested_counts
+from vouchlake.operators import nested_counts, vulnerabilities
 from vouchlake.plans import analytics, certificates, features
 
 
@@ -49,3 +51,33 @@ def test_nested_totals_are_dealt_by_key_once(spark):
     """One exchange, of a given number of parts, feeds the window and both groupings; nothing is joined."""
     plan = nested_counts.nested_totals(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 1 and "Join" not in plan, plan
+
+
+def test_configured_lookups_count_no_hits(spark, monkeypatch):
+    """Lines are dealt by certificate first, and what the names meet is not counted: no part is widened to its hits."""
+    monkeypatch.setattr(vulnerabilities, "cut", lambda df: df)
+    plan = features.configured_vulnerabilities(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" not in plan and "Expand" not in plan
+    plan = plan.splitlines()
+    for at in (i for i, x in enumerate(plan) if "Scan parquet" in x and "l_orderkey" in x):
+        over = [x for x in reversed(plan[:at]) if "Exchange" in x or "Aggregate" in x]
+        assert "REPARTITION_BY_NUM" in over[0], over[0]
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_configured_lookups_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(vulnerabilities, "FEW", few)
+    draw, pick = random.Random(5), lambda k, n, of: [f"{of}{draw.randrange(n)}" for _ in range(draw.randrange(k))]
+    certs = [(f"d{i % 60}", pick(6, 12, "u")) for i in range(80)]  # some in two rows
+    cves = [(f"v{i}", [[pick(4, 14, "c") for _ in range(draw.randrange(4))] for _ in range(draw.randrange(3))], pick(2, 14, "c")) for i in range(40)]
+    uris = {f"c{i}": [f"u{i}", f"u{i // 2}"] for i in range(13)}
+    of = {}
+    for d, us in certs:
+        of.setdefault(d, set()).update(us)
+    met = lambda us, any_of: any(u in us for c in any_of for u in uris.get(c, ()))
+    want = {(d, v) for d, us in of.items() for v, confs, plain in cves if met(us, plain) or any(conf and all(met(us, p) for p in conf) for conf in confs)}
+    got = vulnerabilities.related_cves(
+        spark.createDataFrame(certs, "dgst string, uris array<string>"), spark.createDataFrame(cves, "cve_id string, configurations array<array<array<string>>>, criteria array<string>"),
+        spark.createDataFrame(list(uris.items()), "criteria_id string, uris array<string>"),
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vouchlake.operators import patterns
+from vouchlake.staging import cut
+
+#: Parts that certificates are dealt in, and the names of configurations that are sent to each of them at most.
+PARTS, FEW = 200, 20_000
 
 
 def uri_of_criteria(matches: DataFrame, used: DataFrame) -> DataFrame:
@@ -24,24 +28,40 @@ def exact_lookup(cves: DataFrame, lookup: DataFrame) -> DataFrame:
     return cves.select("cve_id", F.explode("criteria").alias("criteria_id")).join(lookup, "criteria_id").select("uri", "cve_id").distinct()
 
 
+def _names(certs: DataFrame) -> DataFrame:
+    """(dgst, uris) with a row for each certificate that has names, dealt by certificate."""
+    return certs.select("dgst", F.explode("uris").alias("uri")).repartition(PARTS, "dgst").groupBy("dgst").agg(F.collect_set("uri").alias("uris"))
+
+
 def configured(certs: DataFrame, cves: DataFrame, lookup: DataFrame) -> DataFrame:
-    """(dgst, cve_id): every component of some configuration is met by one of the certificate's names.
+    """(dgst, cve_id): every component of some configuration is met by one of the certificate's names."""
+    return _configured(_names(certs), cves, lookup)
+
+
+def _configured(names: DataFrame, cves: DataFrame, lookup: DataFrame) -> DataFrame:
+    """As `configured`, of one row a certificate.
 
-    Relational division by counting: components met against components asked for.
+    A name that meets the component with the fewest names brings the configuration to its
+    certificate; the other components are looked up in the certificate's own names.
     """
     parts = cves.select("cve_id", F.posexplode("configurations").alias("conf", "parts")).select("cve_id", "conf", F.size("parts").alias("asked"), F.posexplode("parts").alias("part", "any_of"))
-    wanted = parts.select("cve_id", "conf", "asked", "part", F.explode("any_of").alias("criteria_id")).join(lookup, "criteria_id").select("cve_id", "conf", "asked", "part", "uri").distinct()
-    have = certs.select("dgst", F.explode("uris").alias("uri")).distinct()
-    met = have.join(wanted, "uri").groupBy("dgst", "cve_id", "conf", "asked").agg(F.countDistinct("part").alias("met"))
-    return met.where("met = asked").select("dgst", "cve_id").distinct()
+    wanted = parts.select("cve_id", "conf", "asked", "part", F.explode("any_of").alias("criteria_id")).join(lookup, "criteria_id")
+    each = wanted.groupBy("cve_id", "conf", "asked", "part").agg(F.collect_set("uri").alias("any_of"))
+    whole = each.groupBy("cve_id", "conf", "asked").agg(F.array_sort(F.collect_list(F.struct(F.size("any_of").alias("n"), "any_of"))).alias("parts")).where(F.size("parts") == F.col("asked"))
+    lead = cut(whole.select("cve_id", F.col("parts.any_of").alias("parts"), F.explode(F.col("parts")[0]["any_of"]).alias("uri")))
+    few = lead.limit(FEW + 1).count() <= FEW
+    have = names.select("dgst", "uris", F.explode("uris").alias("uri"))
+    met = have.join(F.broadcast(lead) if few else lead, "uri").where(F.forall("parts", lambda p: F.arrays_overlap(p, F.col("uris"))))
+    return met.select("dgst", "cve_id").distinct()
 
 
 def related_cves(certs: DataFrame, cves: DataFrame, matches: DataFrame) -> DataFrame:
     """(dgst, cve_id) by exact match or configuration."""
-    have = certs.select("dgst", F.explode("uris").alias("uri")).distinct()
-    lookup = uri_of_criteria(matches, have)
+    names = cut(_names(certs))
+    have = names.select("dgst", F.explode("uris").alias("uri"))
+    lookup = cut(uri_of_criteria(matches, have))
     direct = have.join(exact_lookup(cves, lookup), "uri").select("dgst", "cve_id")
-    return direct.union(configured(certs, cves, lookup)).distinct()
+    return direct.union(_configured(names, cves, lookup)).repartition(PARTS, "dgst").distinct()
 
 
 def within_validity(pairs: DataFrame, certs: DataFrame, cves: DataFrame) -> DataFrame:

@@ -97,7 +97,8 @@ def published_while_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def configured_vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier is a vulnerability of two components; an order's parts are its products."""
-    certs = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("dgst")).agg(F.collect_set(F.expr("concat('u', l_partkey % 200)")).alias("uris"))
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dgst"), F.expr("concat('u', l_partkey % 200)").alias("uri"))
+    certs = lines.repartition(vulnerabilities.PARTS, "dgst").groupBy("dgst").agg(F.collect_set("uri").alias("uris"))
     conf = "array(concat('c', s_suppkey), concat('c', s_suppkey + 1)), array(concat('c', s_suppkey + 7))"
     cves = _read(spark, sf_dir, "supplier").select(F.expr("concat('v', s_suppkey)").alias("cve_id"), F.expr(f"array(array({conf}))").alias("configurations"), F.array().cast("array<string>").alias("criteria"))
     matches = spark.range(200).select(F.expr("concat('c', id)").alias("criteria_id"), F.expr("array(concat('u', id))").alias("uris"))
