@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from vouchlake.operators import nested_counts, vulnerabilities
+from vouchlake.operators import centrality, graph, nested_counts, vulnerabilities
 from vouchlake.plans import analytics, certificates, features
 
 
@@ -81,3 +81,14 @@ def test_configured_lookups_against_brute_force(spark, monkeypatch, few):
         spark.createDataFrame(list(uris.items()), "criteria_id string, uris array<string>"),
     )
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["transitive_attribute_propagation", "closeness_centrality", "betweenness_centrality", "rollup_to_top_parent"])
+def test_rounds_over_a_graph_broadcast_no_layer(spark, monkeypatch, name):
+    """Of a small table each round's plan would be a broadcast join; betweenness does not join pairs with pairs on their middle."""
+    plans = []
+    for module in (graph, centrality):
+        monkeypatch.setattr(module, "cut", lambda df, put=module.cut: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or put(df))
+    (graph.QUERIES | centrality.QUERIES)[name](spark, "/root/testdata/sf0.001")
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert joins and all("strategy=merge" in line for line in joins), joins

@@ -35,8 +35,9 @@ def inherited(edges: DataFrame, flagged: DataFrame) -> DataFrame:
     base = edges.select("src", "dst").distinct()
     fresh, known = flagged.select(F.col("node").alias("src"), "flag").distinct(), None
     while True:
-        step = base.join(fresh, "src").select(F.col("dst").alias("node"), "flag").distinct()
-        fresh = cut(step if known is None else step.join(known, ["node", "flag"], "left_anti"))
+        # by sorting: small rounds broadcast, one after the other, would add up in the driver
+        step = base.join(fresh.hint("merge"), "src").select(F.col("dst").alias("node"), "flag").distinct()
+        fresh = cut(step if known is None else step.join(known.hint("merge"), ["node", "flag"], "left_anti"))
         if fresh.isEmpty():
             return fresh if known is None else known
         known = fresh if known is None else known.union(fresh)
