@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from vouchlake.staging import cut
 
+#: Parts that nodes are dealt in where they climb to their tops.
+PARTS = 200
+
 
 def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) reachable over ``edges``; a node on a cycle reaches itself.
@@ -105,18 +108,16 @@ def top_parents(parents: DataFrame) -> DataFrame:
     rounds. A node with several parents has a row for each top; nodes on a cycle
     have none, having no top.
     """
-    up = cut(parents.where("parent is not null and node <> parent").select("node", "parent").distinct())
-    top, todo, bound = None, up, up.count()
+    todo = cut(parents.where("parent is not null and node <> parent").select("node", "parent", F.lit(True).alias("moved")).repartition(PARTS, "node").distinct())
+    bound = todo.count()
     for _ in range(max(1, bound).bit_length() + 1):
         link = todo.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-        done = todo.join(link.select("parent").distinct(), "parent", "left_anti").select("node", F.col("parent").alias("top"))
-        moved = cut(todo.join(link, "parent").select("node", F.col("next").alias("parent")).distinct())
-        top = done if top is None else top.union(done)
-        if moved.limit(1).count() == 0:
+        # a parent without a row is a top and stays
+        led = todo.where("moved").join(link.hint("merge"), "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("moved"))
+        todo = cut(led.union(todo.where("not moved")).repartition(PARTS, "node").groupBy("node", "parent").agg(F.bool_and("moved").alias("moved")))
+        if todo.where("moved").isEmpty():
             break
-        finished = todo.join(link.select("parent").distinct(), "parent", "left_anti")
-        todo = cut(moved.union(finished.select("node", "parent")).distinct())
-    return top.distinct()
+    return todo.where("not moved").select("node", F.col("parent").alias("top"))
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
