@@ -39,17 +39,25 @@ def influence(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> D
     raise ValueError(f"no fixed point within {rounds} rounds")
 
 
-def shortest_paths(edges: DataFrame) -> DataFrame:
-    """(src, dst, hops, paths): length and number of shortest paths of every reachable pair of
-    different nodes; breadth first from all nodes at once, a join a hop."""
+def _layers(edges: DataFrame) -> list[DataFrame]:
+    """(src, dst, hops, paths) of the pairs one hop apart, two hops apart and so on; the last layer is empty.
+
+    Joins are by sorting: a small layer broadcast in each round would pass through the driver.
+    """
     base = edges.where("src <> dst").select("src", "dst").distinct()
     layers = [cut(base.select("src", "dst", F.lit(1).alias("hops"), F.lit(1).cast("long").alias("paths")))]
     while not layers[-1].isEmpty():
-        step = layers[-1].withColumnRenamed("dst", "mid").join(base.select(F.col("src").alias("mid"), "dst"), "mid").where("src <> dst")
+        step = layers[-1].withColumnRenamed("dst", "mid").join(base.select(F.col("src").alias("mid"), "dst").hint("merge"), "mid").where("src <> dst")
         step = step.groupBy("src", "dst").agg(F.first("hops").alias("hops"), F.sum("paths").alias("paths")).select("src", "dst", (F.col("hops") + 1).alias("hops"), "paths")
         known = reduce(DataFrame.union, layers).select("src", "dst")
-        layers.append(cut(step.join(known, ["src", "dst"], "left_anti")))
-    return reduce(DataFrame.union, layers)
+        layers.append(cut(step.join(known.hint("merge"), ["src", "dst"], "left_anti")))
+    return layers
+
+
+def shortest_paths(edges: DataFrame) -> DataFrame:
+    """(src, dst, hops, paths): length and number of shortest paths of every reachable pair of
+    different nodes; breadth first from all nodes at once, a join a hop."""
+    return reduce(DataFrame.union, _layers(edges))
 
 
 def _with_total(df: DataFrame, edges: DataFrame) -> DataFrame:
