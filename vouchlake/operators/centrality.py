@@ -1,7 +1,7 @@
 """Centralities of reference graphs: influence, closeness, betweenness.
 
-Closeness and betweenness keep every reachable pair (and betweenness joins such pairs on
-their middle), as the measures are defined; they suit graphs whose nodes reach few others.
+Closeness and betweenness keep every reachable pair, as the measures are defined; they suit
+graphs whose nodes reach few others. Betweenness goes back over the pairs, farthest first.
 Loops (a node referring to itself) count for influence only. No edges give no rows.
 """
 
@@ -76,11 +76,19 @@ def closeness(edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
 def betweenness(edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """(node, betweenness): share of the shortest paths between other nodes that run over it,
     summed over pairs, over the number of ordered pairs of other nodes."""
-    p = shortest_paths(edges) if paths is None else paths
-    first = p.select("src", F.col("dst").alias("node"), F.col("hops").alias("h1"), F.col("paths").alias("p1"))
-    second = p.select(F.col("src").alias("node"), "dst", F.col("hops").alias("h2"), F.col("paths").alias("p2"))
-    over = first.join(second, "node").where("src <> dst").join(p, ["src", "dst"]).where("h1 + h2 = hops")
-    share = over.groupBy("node").agg(F.sum(F.col("p1") * F.col("p2") / F.col("paths")).alias("share"))
+    if paths is None:
+        layers = _layers(edges)
+    else:
+        farthest = paths.agg(F.max("hops")).first()[0] or 0
+        layers = [paths.where(F.col("hops") == h) for h in range(1, farthest + 1)] or [paths]
+    back = edges.where("src <> dst").select(F.col("src").alias("mid"), "dst").distinct()
+    # from the farthest pairs inwards: what lies behind a node, as seen from a source, is shared out among the nodes before it
+    after, shares = layers[-1].select("src", "dst", "paths", F.lit(0.0).alias("behind")), []
+    for layer in reversed(layers[:-1]):
+        handed = after.join(back.hint("merge"), "dst").groupBy("src", F.col("mid").alias("dst")).agg(F.sum((1 + F.col("behind")) / F.col("paths")).alias("each"))
+        after = cut(layer.join(handed.hint("merge"), ["src", "dst"], "left").select("src", "dst", "paths", (F.col("paths") * F.coalesce("each", F.lit(0.0))).alias("behind")))
+        shares.append(after.select(F.col("dst").alias("node"), "behind"))
+    share = reduce(DataFrame.union, shares or [after.select(F.col("dst").alias("node"), "behind")]).groupBy("node").agg(F.sum("behind").alias("share"))
     every = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(share, "node", "left")
     pairs = (F.col("nodes") - 1) * (F.col("nodes") - 2)
     return _with_total(every, edges).select("node", F.when(pairs > 0, F.coalesce("share", F.lit(0.0)) / pairs).otherwise(0.0).alias("betweenness"))
