@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from vouchlake.operators import centrality, graph, nested_counts, vulnerabilities
+from vouchlake.operators import centrality, correlations, graph, nested_counts, vulnerabilities
 from vouchlake.plans import analytics, certificates, features
 
 
@@ -92,3 +92,16 @@ def test_rounds_over_a_graph_broadcast_no_layer(spark, monkeypatch, name):
     (graph.QUERIES | centrality.QUERIES)[name](spark, "/root/testdata/sf0.001")
     joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
     assert joins and all("strategy=merge" in line for line in joins), joins
+
+
+def test_correlations_deal_pairs_before_they_are_counted(spark, monkeypatch):
+    """Pairs that hardly repeat are not counted in the few tasks of a join."""
+    plans = []
+    monkeypatch.setattr(correlations, "cut", lambda df, put=correlations.cut: plans.append(df._jdf.queryExecution().executedPlan().toString()) or put(df))
+    correlations.requirement_correlations(spark, "/root/testdata/sf0.001")
+    plan = plans[0].splitlines()
+    over = [x for x in plan if "Exchange" in x or "Aggregate" in x or "Join" in x]
+    assert over.index(next(x for x in over if "REPARTITION_BY_NUM" in x)) < over.index(next(x for x in over if "Join" in x)), over
+    for at in (i for i, x in enumerate(plan) if "Scan parquet" in x):
+        near = [x for x in reversed(plan[:at]) if "Exchange" in x or "Aggregate" in x]
+        assert "REPARTITION_BY_NUM" in near[0], near[0]

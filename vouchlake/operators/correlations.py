@@ -22,6 +22,8 @@ LANCZOS = (
     12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
 )
 STEPS, TINY = 400, 1e-300
+#: Parts that certificates, and then their pairs, are dealt in.
+PARTS = 200
 
 
 def log_gamma(x: Column) -> Column:
@@ -96,7 +98,8 @@ def _ranked(counts: DataFrame, side: str) -> DataFrame:
 def rank_correlations(pairs: DataFrame, alternative: str = "less", support: int = 0) -> DataFrame:
     """(group, n, rho, p) of (group, x, y): groups with fewer than `support` pairs are left out."""
     known = pairs.select("group", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("group is not null and not isnan(x) and not isnan(y) and x is not null and y is not null")
-    counts = cut(known.groupBy("group", "x", "y").agg(F.count("*").alias("n")))
+    # dealt before they are counted: where pairs hardly repeat, a few tasks would hold them all
+    counts = cut(known.repartition(PARTS, "group", "x", "y").groupBy("group", "x", "y").agg(F.count("*").alias("n")))
     a, b = F.col("x_rank"), F.col("y_rank")
     ranked = counts.join(_ranked(counts, "x"), ["group", "x"]).join(_ranked(counts, "y"), ["group", "y"])
     total = counts.groupBy("group").agg(F.sum("n").alias("all"))
@@ -116,7 +119,7 @@ def family_correlations(certs: DataFrame, levels: DataFrame, scores: list[str],
     dgst and the scores. Families with a score that has no coefficient are left out.
     """
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("y")) for s in scores])).alias("s")
-    rows = levels.join(certs.select("dgst", each), "dgst").select(F.concat_ws("\n", "family", "s.score").alias("group"), F.col("level").alias("x"), F.col("s.y").alias("y"))
+    rows = levels.repartition(PARTS, "dgst").join(certs.repartition(PARTS, "dgst").select("dgst", each), "dgst").select(F.concat_ws("\n", "family", "s.score").alias("group"), F.col("level").alias("x"), F.col("s.y").alias("y"))
     part = F.split("group", "\n")
     found = rank_correlations(rows, "less", support).select(part[0].alias("family"), part[1].alias("score"), "n", "rho", "p")
     whole = found.groupBy("family").agg(F.count("rho").alias("k")).where(F.col("k") == len(scores))
@@ -128,8 +131,8 @@ def requirement_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     status as the family; the scores are their price and their lines' greatest quantity."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     lines = read("lineitem")
-    most = lines.groupBy(F.col("l_orderkey").alias("dgst")).agg(F.max("l_quantity").alias("most"))
-    certs = read("orders").select(F.col("o_orderkey").alias("dgst"), F.col("o_totalprice").alias("price")).join(most, "dgst")
+    most = lines.select(F.col("l_orderkey").alias("dgst"), "l_quantity").repartition(PARTS, "dgst").groupBy("dgst").agg(F.max("l_quantity").alias("most"))
+    certs = read("orders").select(F.col("o_orderkey").alias("dgst"), F.col("o_totalprice").alias("price")).repartition(PARTS, "dgst").join(most, "dgst")
     levels = lines.select(F.col("l_orderkey").alias("dgst"), F.concat("l_returnflag", "l_linestatus").alias("family"), F.col("l_linenumber").alias("level"))
     got = family_correlations(certs, levels, ["price", "most"])
     return got.select("family", "score", "n", F.round("rho", 9).alias("rho"), F.round("p", 8).alias("p"))
