@@ -1,6 +1,7 @@
 """Encoding, decoding and alignment against the libraries, on awkward and real texts."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -135,3 +136,18 @@ def test_alignment_of_an_empty_table_and_of_empty_texts(spark, docs):
     assert token_alignment.align_tokens(spark, docs.limit(0), BYTES, PIECES).count() == 0
     blank = docs.where("coalesce(text, '') = ''")
     assert {tuple(r)[1:] for r in token_alignment.align_tokens(spark, blank, BYTES, PIECES).collect()} == {(0, 0, 0, 0, 0, 0, "")}
+
+
+def test_alignment_keeps_no_shuffle_files_of_its_steps(spark, docs):
+    """They go with the step that made them, whether or not the driver's garbage is collected; the setting stays as it was."""
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split()
+        return {b.split("_")[1] for b in blocks if b.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(scratch._CLEAN)
+    token_alignment.align_tokens(spark, docs, BYTES, PIECES)
+    until = time.time() + 10
+    while len(shuffles() - before) > 1 and time.time() < until:  # Spark deletes them a moment later
+        time.sleep(0.1)
+    assert len(shuffles() - before) <= 1 and spark.conf.get(scratch._CLEAN) == setting  # one: a single number, the sum of the pairs

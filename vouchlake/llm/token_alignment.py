@@ -256,14 +256,13 @@ def align_tokens(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str)
     small_batches(spark, 5_000)  # segments
     members = parts.where("code is not null").select("block", "code", "segment", "n")
     distinct = members.groupBy("segment").agg(F.sum("n").alias("n"))
-    aligned = scratch.cut(_aligned(distinct, a_path, b_path), "aligned", "zstd")
-    scratch.settle()
-    pairs = scratch.cut(pair_counts(aligned), "pairs")
-    joined = members.drop("n").join(aligned.drop("n", "links"), "segment").join(_link_sums(aligned, pairs), "segment")
+    aligned = scratch.cut(_aligned(distinct, a_path, b_path), "aligned", "zstd", clean=True)
+    pairs = scratch.cut(pair_counts(aligned), "pairs", clean=True)
+    sums = scratch.cut(_link_sums(aligned, pairs), "sums", "zstd", clean=True)
+    joined = members.drop("n").join(aligned.drop("n", "links"), "segment").join(sums, "segment")
     rows = joined.select("block", *_PACKED.names).sortWithinPartitions("block")
-    packed = scratch.cut(_packed(rows), "packed")
-    scratch.drop("aligned", "pairs")
-    scratch.settle()
+    packed = scratch.cut(_packed(rows), "packed", clean=True)
+    scratch.drop("aligned", "pairs", "sums")
     whole = parts.where("code is null").select("block", "doc_id", "codes")
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
     return whole.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(_compose, schema)
