@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vouchlake.functions import columns
+from vouchlake.plans import pages as plans
 from vouchlake.sources import pages
 
 ROW = "<tr>" + "".join(f"<td>{c}</td>" for c in ("n", "m", "", "", "", "", "s")) + "</tr>"
@@ -86,3 +87,32 @@ def test_pages_of_a_small_file_are_dealt(spark, name):
 
     plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(c_custkey" in plan[plan.index("MapInArrow"):]
+
+
+ROWS = ["<tr><td>a</td><th class=' b  c '>1 &amp; 2</th></tr>".replace("'", '"'), '<tr>\n<td>x<a href="/h?a=1&amp;b" title="t">y</a> z</td> <td>v<div id="S1">w</div><div>q</div></td></tr>', "<tr><td></td></tr>"]
+ODD = ['<tr><td><a class="col-md-12">i</a></td></tr>', '<tr><td><div class="panel-default">p</div></td></tr>', "<tr><td>u<td>w</tr>", "<tr><td><table><tr><td>in</td></tr></table>after</td></tr>", "<h4>h<tr><td>k</td></tr></h4>", "<tr><td><ul><li>l</li></ul></td></th></tr>"]
+
+
+def test_whole_rows_are_read_as_the_general_parser_reads_them(monkeypatch):
+    quick = []
+    monkeypatch.setattr(pages._Rows, "_whole_row", lambda self, text, do=pages._Rows._whole_row: quick.append(text) or do(self, text))
+    for body in [*ROWS, *ODD, *(o + r for o in ODD for r in ROWS), "".join(ROWS)]:
+        html = f'<table id="t"><tbody>{body}</tbody></table>'
+        fed = pages._Rows()
+        fed.feed(html)
+        fed.close()
+        assert [r for some in pages._Rows().read(html) for r in some] == fed.out, html
+    assert {r[4:-5].strip() for r in ROWS} <= {q.strip() for q in quick}
+
+
+@pytest.mark.parametrize("name", ["algorithm_pages", "process_pages", "queue_pages", "product_pages"])
+def test_pages_are_dealt_in_a_given_number_of_parts(spark, name):
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    over = [x for x in plan[: next(i for i, x in enumerate(plan) if "Scan parquet" in x)] if "Exchange" in x]
+    assert "REPARTITION_BY_NUM" in over[-1], over
+
+
+def test_algorithm_lists_sort_no_cells(spark):
+    plan = plans.QUERIES["algorithm_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(plan) if " Window " in x)
+    assert "cells" not in plan[at] and "Project" in plan[at + 1] and "own" in plan[at + 1], plan[at : at + 3]

@@ -24,7 +24,7 @@ def _dealt(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
 def _page(lines: DataFrame, by: str, order: str, line: str, before: str, after: str) -> DataFrame:
     """(page, html): the lines of a page in order, between two fixed texts."""
     held = F.array_sort(F.collect_list(F.struct(F.expr(order).alias("at"), F.expr(line).alias("line"))))
-    return lines.groupBy(F.expr(by).alias("page")).agg(F.concat(F.expr(before), F.array_join(F.transform(held, lambda x: x.line), ""), F.lit(after)).alias("html"))
+    return _dealt(lines.sparkSession, lines.withColumn("page", F.expr(by)), "page").groupBy("page").agg(F.concat(F.expr(before), F.array_join(F.transform(held, lambda x: x.line), ""), F.lit(after)).alias("html"))
 
 
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

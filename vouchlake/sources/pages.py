@@ -78,10 +78,22 @@ _TAG = re.compile(rf"<(/?)([A-Za-z][A-Za-z0-9]*+)((?:{_W}++{_ATTR})*+){_W}*+>")
 #: Pages of plain tags alone, whose text means the same to any parser; most are, and go about twice as fast.
 _PLAIN = re.compile(rf"(?:[^<]++|<(?!/?(?i:script|style|textarea|title|xmp|iframe|no|plaintext|svg|math))(?:/[A-Za-z][A-Za-z0-9]*+|[A-Za-z][A-Za-z0-9]*+(?:{_W}++{_ATTR})*+){_W}*+>)*+")
 _PAIRS = re.compile(r'([A-Za-z][A-Za-z0-9-]*)="([^"]*)"')
+#: A row of a table, and one of its cells, with no more in them than text and links and divisions without a class; most are so, and need no stack.
+_BARE = rf"(?:{_W}++(?![Cc][Ll][Aa][Ss][Ss]=){_ATTR})*+{_W}*+>[^<]*+"
+_INNER = rf"<(?:a{_BARE}</a|div{_BARE}</div)>"
+_CELL_TAGS = rf"(?:{_W}++{_ATTR})*+{_W}*+>(?:[^<]++|{_INNER})*+"
+_ROW = re.compile(rf"<tr>((?:{_W}*+(?:<td{_CELL_TAGS}</td>|<th{_CELL_TAGS}</th>))++){_W}*+</tr>")
+_CELLS = re.compile(rf"<t[dh]((?:{_W}++{_ATTR})*+){_W}*+>((?:[^<]++|{_INNER})*+)</t[dh]>")
+_INNERS = re.compile(rf"<(a|div)((?:{_W}++{_ATTR})*+){_W}*+>([^<]*+)</(?:a|div)>")
 #: Rows that are handed on at once.
 _HELD = 1000
 
 
+def _attributes(text: str) -> list[tuple[str, str]]:
+    """Names and values of a plain tag's attributes."""
+    return [(k.lower(), unescape(v)) for k, v in _PAIRS.findall(text)] if text else []
+
+
 class _Rows(HTMLParser):
     """Collects the rows of a page; a padrow's cells are its divs of class col-*."""
 
@@ -192,21 +204,52 @@ class _Rows(HTMLParser):
     def _plain(self, text: str) -> Iterator[None]:
         """Makes the calls that feeding a page of plain tags makes."""
         end = 0
-        for m in _TAG.finditer(text):
+        while m := _TAG.search(text, end):
             if m.start() > end:
                 self.handle_data(unescape(text[end : m.start()]))
             end = m.end()
-            if m[1]:
+            if m[0] == "<tr>" and self.tables and not self.in_heading and (whole := _ROW.match(text, m.start())):
+                end = whole.end()
+                yield self._whole_row(whole[1])
+            elif m[1]:
                 yield self.handle_endtag(m[2].lower())
             else:
-                self.handle_starttag(m[2].lower(), [(k.lower(), unescape(v)) for k, v in _PAIRS.findall(m[3])] if m[3] else [])
+                self.handle_starttag(m[2].lower(), _attributes(m[3]))
         if end < len(text):
             self.handle_data(unescape(text[end:]))
 
+    def _whole_row(self, text: str) -> None:
+        """Does what the calls for a row's tags and data do, from its start to its end."""
+        self._end_row()
+        cells = []
+        for own_attrs, body in _CELLS.findall(text):
+            cell = {"classes": " ".join(dict(_attributes(own_attrs)).get("class", "").split()) if own_attrs else "", "inner_id": None, "strings": [], "own": [], "links": [], "items": []}
+            cells.append(cell)
+            if "<" not in body:
+                if said := " ".join(unescape(body).split()):
+                    cell["strings"], cell["own"] = [said], [said]
+                continue
+            parts = _INNERS.split(body)  # text, then tag, attributes and content of what is inside, and text again
+            for i in range(0, len(parts), 4):
+                if said := " ".join(unescape(parts[i]).split()):
+                    cell["strings"].append(said)
+                    cell["own"].append(said)
+                if i + 1 == len(parts):
+                    break
+                have, said = dict(_attributes(parts[i + 2])), " ".join(unescape(parts[i + 3]).split())
+                if said:
+                    cell["strings"].append(said)
+                if parts[i + 1] == "a":
+                    cell["links"].append({"href": have.get("href"), "title": have.get("title"), "id": have.get("id"), "text": said})
+                elif cell["inner_id"] is None:
+                    cell["inner_id"] = have.get("id")
+        self.row = {"kind": "tr", "cells": cells}
+        self._end_row()
+
     def _end_row(self) -> None:
         if self.row and self.row["cells"]:
             t = self.tables[-1] if self.tables else {"id": "", "nth": 0, "part": "", "part_id": "", "n": self.n}
-            cells = [c | {"own": " ".join(c["own"])} for c in self.row["cells"]]
+            cells = [(c["classes"], c["inner_id"], c["strings"], " ".join(c["own"]), c["links"], c["items"]) for c in self.row["cells"]]
             self.out.append((self.row["kind"], self.panel, t["id"], t["nth"], t["part"], t["part_id"], t["n"], self.heading, cells))
             t["n"] += 1
             self.n += 1
@@ -216,20 +259,20 @@ class _Rows(HTMLParser):
 def rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     """One record a row of each page, in the page's order: see the schema `_ROWS`."""
 
-    fields = ["kind", "panel", "table_id", "nth", "part", "part_id", "row", "heading", "cells"]
     schema = to_arrow_schema(StructType.fromDDL(_ROWS))
+    batch_of = lambda held: pa.RecordBatch.from_struct_array(pa.array(held, pa.struct(list(schema))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[tuple] = []
         for batch in batches:
             for k, text in zip(batch["key"], batch["html"], strict=True):
                 for found in _Rows().read(text.as_py() or ""):
-                    held += [dict(zip(fields, r, strict=True), key=k.as_py()) for r in found]
+                    held += [(k.as_py(), *r) for r in found]
                     if len(held) >= _HELD:
-                        yield pa.RecordBatch.from_pylist(held, schema)
+                        yield batch_of(held)
                         held = []
         if held:
-            yield pa.RecordBatch.from_pylist(held, schema)
+            yield batch_of(held)
 
     return pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html")).mapInArrow(run, _ROWS)
 
@@ -312,11 +355,13 @@ def algorithm_list(found: DataFrame) -> DataFrame:
     wide = F.size("cells") >= 4
     named = F.get(F.filter(_cell(1).links, lambda x: F.coalesce(x.id.startswith("product-name-"), F.lit(False))), F.lit(0))
     above = Window.partitionBy("key", "table_id", "nth").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.last(F.when(wide, F.struct(F.coalesce(_text(_cell(0)), F.lit("")).alias("vendor"), F.coalesce(named.text, _text(_cell(1)), F.lit("")).alias("name"), F.nullif(F.regexp_extract(named.href, r"[?&]product=([^&#]+)", 1), F.lit("")).alias("pid"))), ignorenulls=True)
+    own = F.when(wide, F.struct(F.coalesce(_text(_cell(0)), F.lit("")).alias("vendor"), F.coalesce(named.text, _text(_cell(1)), F.lit("")).alias("name"), F.nullif(F.regexp_extract(named.href, r"[?&]product=([^&#]+)", 1), F.lit("")).alias("pid")))
     at = F.when(wide, 2).otherwise(0)
     proof = F.get(F.filter(F.get("cells", at).links, lambda x: F.coalesce(x.id.startswith("validation-number-"), F.lit(False))), F.lit(0))
-    body = found.where((F.col("part") == "tbody") & (F.size("cells") >= 2)).withColumn("head", head.over(above))
-    body = body.select("key", "head", columns.type_and_number(proof.text).alias("alg"), columns.parsed_date(_text(F.get("cells", at + 1))).alias("validated"))
+    day = columns.parsed_date(_text(F.get("cells", at + 1)), "MM/dd/yyyy", "yyyy-MM-dd")
+    body = found.where((F.col("part") == "tbody") & (F.size("cells") >= 2))
+    # the cells stay behind: only what is read from them is sorted
+    body = body.select("key", "table_id", "nth", "row", own.alias("own"), columns.type_and_number(proof.text).alias("alg"), day.alias("validated")).withColumn("head", F.last("own", ignorenulls=True).over(above))
     return body.where("alg IS NOT NULL").select(
         "key", F.col("alg.type").alias("algorithm_type"), F.col("alg.number").alias("alg_number"), F.coalesce("head.vendor", F.lit("")).alias("vendor"), F.coalesce("head.name", F.lit("")).alias("implementation_name"),
         F.col("head.pid").alias("product_id"), "validated",
@@ -383,11 +428,13 @@ def in_process(found: DataFrame, taken: str = "taken_at") -> DataFrame:
     """
     at = F.to_date(taken)
     marked = F.array_position(F.transform(F.slice("cells", -4, 4), lambda c: F.array_contains(F.split(c.classes, " "), "mip-highlight")), True)
-    line = columns.status_line(_text(_cell(3)))
+    line = F.col("line")
     oldest, dated = F.col(taken) <= F.lit("2020-10-28").cast("timestamp"), F.col(taken) > F.lit("2022-03-23").cast("timestamp")
     state = F.when(oldest, F.get(F.array(*map(F.lit, PROCESS_STATES)), (marked - 1).cast("int"))).when(dated & line.since.isNull(), None).otherwise(line.status)
     vendor = F.when(F.col(taken) <= F.lit("2021-04-20").cast("timestamp"), _text(_cell(1))).otherwise(F.nullif(_cell(1).own, F.lit("")))
     body = found.where((F.col("part") == "tbody") & (F.size("cells") >= 4))
+    # a line and its state are worked out once a row, not wherever they are used
+    body, state = body.withColumn("line", columns.status_line(_text(_cell(3)))).withColumn("state", state), F.col("state")
     return body.select(
         "key", at.alias("snapshot"), _text(_cell(0)).alias("module"), vendor.alias("vendor"), _text(_cell(2)).alias("standard"), _checked(state.isin(PROCESS_STATES), F.concat(F.lit("unknown state in page "), "key"), state).alias("status"),
         F.when(dated, line.since).alias("since"), F.when(F.col(taken) > F.lit("2026-03-05").cast("timestamp"), F.substr(_cell(1).inner_id, F.lit(2))).alias("submission_id"),
