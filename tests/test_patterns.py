@@ -46,3 +46,12 @@ def test_few_rules_are_chosen(spark):
     pick = patterns.promising(rules)
     row = spark.createDataFrame([("about term0007, term0500 and xterm0008",)], "t string").select(pick(F.col("t")).alias("r")).first()
     assert row["r"] == [7, 500] and all(re.fullmatch(r, r) for r in rules)
+
+
+def test_keyword_counts_hold_few_texts_at_once(spark):
+    """Whatever the session had, Python gets whole texts in batches of at most 512, and of about 16 MB."""
+    names = [f"spark.sql.execution.arrow.max{kind}PerBatch" for kind in ("Records", "Bytes")]
+    for name in names:
+        spark.conf.unset(name)
+    vulnerabilities.keyword_counts(spark.createDataFrame([(1, "a b")], "doc_id int, text string"), [("p", "b")])
+    assert [int(spark.conf.get(name)) for name in names] == [512, 16 << 20]

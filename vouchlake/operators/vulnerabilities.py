@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vouchlake.llm.scratch import small_batches
 from vouchlake.operators import patterns
 from vouchlake.staging import cut
 
@@ -88,6 +89,7 @@ def keyword_counts(docs: DataFrame, rules: list[tuple[str, str]], key: str = "do
     """
     if not rules:
         return docs.select(F.col(key).alias("key"), F.lit("").alias("path"), F.lit("").alias("match"), F.lit(0).cast("long").alias("n")).limit(0)
+    small_batches(docs.sparkSession)  # whole texts
     body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\\r?\\n", " ")
     texts = docs.select(F.col(key).alias("key"), body.alias("body"))
     each = texts.select("key", "body", F.explode(patterns.promising([p for _, p in rules])(F.col("body"))).alias("rule"))
