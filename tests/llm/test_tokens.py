@@ -5,6 +5,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vouchlake.llm import piece_bpe, scratch, token_alignment
@@ -65,6 +66,31 @@ def test_backtracking_gives_what_merging_one_by_one_gives():
         assert encoder.pieces(text) == encoder.merged(text)
 
 
+def test_short_segments_are_merged_side_by_side():
+    rng, encoder, sp = random.Random(6), piece_bpe.PieceEncoder(PIECES), library()
+    segments = ["".join(rng.choice("  abethingéxб1.'") for _ in range(rng.randint(1, piece_bpe.SHORT))) for _ in range(500)]
+    for s, ids in zip(segments, encoder.merges.merge(segments), strict=True):
+        assert ids == b"".join(encoder.codes[p] for p in encoder.merged(s.replace(" ", "▁")))
+    assert encoder.merges.merge(["\n", "the", "a\n"])[0::2] == [None, None]
+    encoder.pieces = None  # no walk from the left
+    for t in ("oueauenelle, Anhast%%%  thenreentionhe", "Шатble 555-4155"):
+        assert np.frombuffer(encoder.encode([t])[0], np.int32).tolist() == sp.encode(t)
+
+
+def test_texts_are_cut_between_characters_that_no_piece_joins():
+    find = piece_bpe.PieceEncoder(PIECES).find
+    assert find(" Anhast.\nThe  end") == [" Anhast", ".", "\n", "The", "  end"]
+
+
+def test_lists_are_decoded_together_as_one_by_one():
+    rng, sp, mine = random.Random(4), library(), piece_bpe.PieceDecoder(PIECES)
+    for ids in (3, 300, sp.vocab_size()):  # with ids of no text, with bytes, any
+        lists = [[rng.randrange(3, max(ids, 4)) for _ in range(rng.randint(0, 10))] for _ in range(500)]
+        whole = pa.array([*lists, None], pa.list_(pa.int32()))
+        assert mine.decode_all(whole) == [*map(sp.decode, lists), ""]
+        assert mine.decode_all(whole[7:20]) == list(map(sp.decode, lists[7:20]))
+
+
 def test_the_cache_is_bounded_in_bytes(monkeypatch):
     monkeypatch.setattr(piece_bpe, "CACHE_BYTES", 2000)
     encoder, sp = piece_bpe.PieceEncoder(PIECES, 50), library()
