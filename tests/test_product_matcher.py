@@ -72,3 +72,34 @@ def test_entries_without_a_version_are_met_as_by_all_pairs(spark):
     free = pm._wanted(table).drop("vendor", "versions").crossJoin(model.items)
     want = {(r["key"], r["uri"]) for r in free.where(pm._exact("loose") | pm._bare()).select("key", "uri").collect()}
     assert got == want and len(want) > 50
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_dealt_before_they_are_read(spark):
+    dictionary, products = tables(spark)
+    for df, key in ((pm.dictionary_items(dictionary), "uri"), (pm._wanted(products), "key")):
+        lines = [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
+        assert len(lines) == 1 and f"({key}#" in lines[0] and f", {pm.PARTS})" in lines[0]
+
+
+def test_the_first_steps_meet_entries_once(spark):
+    dictionary, products = tables(spark)
+    items, asked = pm.dictionary_items(dictionary), pm._wanted(products)
+    makers = spark.createDataFrame([(1, "ibm"), (2, "hp")], "key long, vendor string")
+    got = pm._by_version(asked, makers, items.select("vendor", "version").distinct(), items, 92.0)
+    assert plan(got).count("ArrowEvalPython") == 1
+    assert got.where("step = 2").select("key", "uri").distinct().count() == got.where("step = 2").count() > 0
+
+
+def test_stretches_are_cut_only_in_lengths_that_keys_have(spark):
+    df = spark.createDataFrame([("abcde xy", [2, 4]), ("abc", [])], "t string, sizes array<int>")
+    got = [sorted(r[0]) for r in df.select(pm._grams(["t"], F.col("sizes"))).collect()]
+    assert got == [["ab", "abcd", "bc", "bcde", "cd", "de", "xy"], []]
+    # texts of short words alone are still met
+    dictionary = spark.createDataFrame([("cpe:2.3:a:ibm:ab_c_1:-:*:*:*:*:*:*:*", "ab c 1"), ("cpe:2.3:a:ibm:websphere:-:*:*:*:*:*:*:*", "IBM WebSphere 2")], "uri string, title string")
+    products = spark.createDataFrame([(1, "IBM", "the ab c 1 set"), (2, "IBM", "c 1 ab")], "key long, vendor string, name string").withColumn("versions", columns.versions(F.col("name")))
+    found = pm.ProductMatcher().fit(dictionary).predict(products)
+    assert sorted((r.key, r.uri.split(":")[4], r.step) for r in found.collect()) == [(1, "ab_c_1", 3), (2, "ab_c_1", 3)]

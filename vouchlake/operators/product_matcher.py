@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 
 from vouchlake.functions import columns
 from vouchlake.operators.matching import token_set_ratio
-from vouchlake.staging import cut
+from vouchlake.staging import written
 
 LEAST_ITEM, LEAST_TITLE, GRAM = 4, 5, 4
+#: So many parts products and entries are dealt in before their texts are read: a small file is one task of the scan.
+PARTS = 48
 #: Entries too weak to count, and the item whose bare name says nothing.
 WEAK_URIS = ("cpe:2.3:o:microsoft:windows:-:*:*:*:*:*:x64:*", "cpe:2.3:o:microsoft:windows:-:*:*:*:*:*:x86:*")
 BARE_ITEM = "big-ip"
@@ -86,7 +88,7 @@ def platform_text(text: Column) -> Column:
 def dictionary_items(dictionary: DataFrame) -> DataFrame:
     """The entries that count, with the texts and numbers that matching reads."""
     uri, title = F.col("uri"), F.coalesce("title", F.lit(""))
-    parts = dictionary.where("uri is not null").groupBy("uri").agg(F.max("title").alias("title")).select(
+    parts = dictionary.where("uri is not null").repartition(PARTS, "uri").groupBy("uri").agg(F.max("title").alias("title")).select(
         "uri", title.alias("title"), columns.cpe_name(uri, 3).alias("vendor"), columns.cpe_name(uri, 4).alias("item"),
         columns.cpe_version(uri).alias("version"), columns.cpe_part(uri, 6).alias("update"), columns.cpe_part(uri, 11).alias("hardware"),
     )
@@ -105,7 +107,7 @@ def dictionary_items(dictionary: DataFrame) -> DataFrame:
 def _wanted(products: DataFrame) -> DataFrame:
     name = columns.plain_name(F.col("name"))
     p = products.select("key", "vendor", "name", F.coalesce("versions", F.array().cast("array<string>")).alias("versions")).where("key is not null and name is not null and vendor is not null")
-    p = p.dropDuplicates(["key"]).withColumn("plain", name).withColumn("std", plain_versions(F.col("plain"), F.col("versions")))
+    p = p.repartition(PARTS, "key").dropDuplicates(["key"]).withColumn("plain", name).withColumn("std", plain_versions(F.col("plain"), F.col("versions")))
     return p.withColumns({"pack": columns.service_pack(F.col("plain")), "release": columns.release(F.col("plain"))})
 
 
@@ -135,24 +137,34 @@ def _keys(texts: list[str]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.substring(w, 1, GRAM) for w in longest])))
 
 
-def _grams(texts: list[str]) -> Column:
-    """All stretches of up to GRAM characters of the texts' words."""
+def _grams(texts: list[str], sizes: Column) -> Column:
+    """All stretches of the texts' words that have so many characters (an array)."""
     every = F.array_distinct(F.flatten(F.array(*[words(F.col(t)) for t in texts])))
     cuts = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, n))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.transform(every, lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: cuts(w, n))))))
+    return F.array_distinct(F.flatten(F.transform(every, lambda w: F.flatten(F.transform(sizes, lambda n: cuts(w, n))))))
+
+
+def _sizes(keys: DataFrame) -> DataFrame:
+    """vendor and the lengths its keys have, GRAM at most: no others are looked for."""
+    return keys.groupBy("vendor").agg(F.collect_set(F.length("g")).alias("sizes"))
 
 
 def _by_version(asked: DataFrame, makers: DataFrame, versions: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """(key, uri, score, step) of the first two steps."""
     pairs = makers.join(versions, "vendor").join(asked.select("key", "versions"), "key").where(columns.version_fits(F.col("version"), F.col("versions"))).select("key", "vendor", "version")
-    met = pairs.join(items, ["vendor", "version"]).dropDuplicates(["key", "uri"]).join(asked.drop("vendor", "versions"), "key").where(_fits())
+    # an entry has one vendor and version, so that each product meets it once
+    met = pairs.join(items, ["vendor", "version"]).repartition(PARTS, "key").join(asked.drop("vendor", "versions"), "key").where(_fits())
     group = Window.partitionBy("key")
     met = met.withColumns({f"any_{k}": F.bool_or(f"{k}_said").over(group) for k in UPDATES}).where(_updated(F.col("any_pack"), F.col("any_release")))
-    ratio = F.greatest(token_set_ratio(F.col("plain"), F.col("loose")), token_set_ratio(F.col("std"), F.col("loose")))
-    scored = met.withColumn("score", F.when(_exact("loose"), 100.0).otherwise(ratio))
-    firm = scored.where(F.col("titled") & (F.col("score") >= threshold)).select("key", "uri", "score", F.lit(1).alias("step"))
-    loose = scored.withColumn("score", F.when(_bare(), 100.0).otherwise(F.col("score"))).where(F.col("score") >= threshold).select("key", "uri", "score", F.lit(2).alias("step"))
-    return firm.unionByName(loose)
+    exact, score = F.col("exact"), F.col("score")
+    # texts that fit exactly, and the second of two equal ones, are not rated: nulls pass the rating by
+    rated = lambda t, needed: token_set_ratio(F.when(needed, F.col(t)), F.col("loose"))
+    ratio = F.greatest(rated("plain", ~exact), rated("std", ~exact & (F.col("std") != F.col("plain"))))
+    scored = met.withColumn("exact", _exact("loose")).withColumn("score", F.when(exact, 100.0).otherwise(ratio))
+    scored = scored.withColumn("eased", F.when(exact | _bare(), 100.0).otherwise(score))
+    firm = F.when(F.col("titled") & (score >= threshold), F.struct(score.alias("score"), F.lit(1).alias("step")))
+    eased = F.when(F.col("eased") >= threshold, F.struct(F.col("eased").alias("score"), F.lit(2).alias("step")))
+    return scored.select("key", "uri", F.explode(F.array_compact(F.array(firm, eased))).alias("s")).select("key", "uri", "s.*")
 
 
 def _by_name(asked: DataFrame, makers: DataFrame, items: DataFrame) -> DataFrame:
@@ -165,8 +177,9 @@ def _by_name(asked: DataFrame, makers: DataFrame, items: DataFrame) -> DataFrame
     named = makers.join(kinds, "vendor").join(asked.select("key", "name"), "key").where(_fits()).groupBy("key").agg(*[F.bool_or(f"{k}_said").alias(f"any_{k}") for k in UPDATES])
     mine = makers.join(asked.select("key", "plain", "std"), "key")
     theirs, ours = ["loose", "stripped", "item"], ["plain", "std"]
-    outer = mine.select("key", "vendor", F.explode(_grams(ours)).alias("g")).join(free.select("uri", "vendor", F.explode(_keys(theirs)).alias("g")), ["vendor", "g"])
-    inner = mine.select("key", "vendor", F.explode(_keys(ours)).alias("g")).join(free.select("uri", "vendor", F.explode(_grams(theirs)).alias("g")), ["vendor", "g"])
+    sought, asking = (df.select(k, "vendor", F.explode(_keys(t)).alias("g")) for df, k, t in ((free, "uri", theirs), (mine, "key", ours)))
+    outer = mine.join(_sizes(sought), "vendor").select("key", "vendor", F.explode(_grams(ours, F.col("sizes"))).alias("g")).join(sought, ["vendor", "g"])
+    inner = asking.join(free.join(_sizes(asking), "vendor").select("uri", "vendor", F.explode(_grams(theirs, F.col("sizes"))).alias("g")), ["vendor", "g"])
     met = outer.select("key", "uri").union(inner.select("key", "uri")).distinct()
     met = met.join(free.drop("vendor", "version"), "uri").join(asked.drop("vendor", "versions"), "key").where((_exact("loose") | _bare()) & _fits())
     return met.join(named, "key").where(_updated(F.col("any_pack"), F.col("any_release"))).select("key", "uri", F.lit(100.0).alias("score"), F.lit(3).alias("step"))
@@ -187,7 +200,7 @@ class ProductMatcher(Estimator, _Settings):
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> ProductMatcherModel:
-        items = cut(dictionary_items(dataset))
+        items = written(dictionary_items(dataset))
         return ProductMatcherModel(items, threshold=self.getOrDefault("threshold"), most=self.getOrDefault("most"))
 
 
@@ -212,10 +225,10 @@ class ProductMatcherModel(Model, _Settings):
 
     def predict(self, products: DataFrame) -> DataFrame:
         """(key, uri, score, step, rank): each product's matches, best and greatest uri first."""
-        asked = cut(_wanted(products))
+        asked = written(_wanted(products))
         candidates = columns.vendor_candidates(F.lower(F.regexp_replace("vendor", "[®™]", "")))
-        makers = asked.select("key", F.explode(candidates).alias("vendor")).distinct().join(self.versions.select("vendor").distinct(), "vendor", "left_semi")
-        first = cut(_by_version(asked, makers, self.versions, self.items, self.getOrDefault("threshold")))
+        makers = written(asked.select("key", F.explode(candidates).alias("vendor")).distinct().join(self.versions.select("vendor").distinct(), "vendor", "left_semi"))
+        first = written(_by_version(asked, makers, self.versions, self.items, self.getOrDefault("threshold")))
         matched = first.select("key").distinct()
         rest = lambda df: df.join(matched, "key", "left_anti")
         every = first.unionByName(_by_name(rest(asked), rest(makers), self.items))
@@ -232,7 +245,7 @@ class ProductMatcherModel(Model, _Settings):
 def product_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts against a dictionary made of them: each maker has forty parts, and the part's
     number decides which step, if any, must find its entry."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").repartition(PARTS, "p_partkey").selectExpr(
         "p_partkey k", "concat('firma', p_partkey div 40) vendor", "concat(p_partkey % 40 + 1, '.', p_partkey % 7) version",
         "concat('z', translate(cast(p_partkey as string), '0123456789', 'abcdefghij'), 'ware') word", "p_name", "p_partkey % 8 c",
     )

@@ -7,6 +7,7 @@ tests on a local master, a folder of our own is set once.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,11 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` as written to the checkpoint folder and read back."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as written to the checkpoint folder as Parquet and read back: for tables read
+    several times, each time by a few columns, by tasks of the scan's size."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
